@@ -280,7 +280,7 @@ def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cls, set) of the wanted (cls, low) classes, from the text of their first document."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted.withColumnRenamed("low", "w_low"), F.col("doc_id").eqNullSafe(F.col("w_low"))).select("cls", "text")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted.withColumnRenamed("low", "w_low").hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_low"))).select("cls", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -317,7 +317,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that are not kept; equal rows of a kept document all stay."""
     gone = _resolved(docs, k, percent).where("NOT kept").select("doc_id", "h").distinct()
     gone = written(gone, "gone")
-    return as_rows(docs).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h")), "left_anti").select("row.*")
+    return as_rows(docs).join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h")), "left_anti").select("row.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     cut_udf = F.pandas_udf(cut, "string")
     # one row per changed document: its spans, at most one for every `min_words` of its words
     per_doc = written(spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    out = as_rows(docs).join(per_doc, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h")), "left")
+    out = as_rows(docs).join(per_doc.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h")), "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut_udf("row.text", "spans"))
     return out.withColumn("text", text).select(*[new_text(c, F.col("text")) for c in docs.columns])
 
