@@ -71,7 +71,7 @@ def without_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     with 0 lines."""
     runs = repeated_runs(docs, min_lines).groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     runs = written(runs, "runs")
-    out = as_rows(docs).join(runs, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (digest(F.col("row.text")) == F.col("h")), "left")
+    out = as_rows(docs).join(runs.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (digest(F.col("row.text")) == F.col("h")), "left")
     lines = _filled("row.text")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "runs")]
