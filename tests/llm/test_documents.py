@@ -81,11 +81,11 @@ def test_near_duplicates_real(spark, real):
     assert sum(not r[3] for r in expected) > 50
 
 
-def test_near_duplicates_blocks(spark, monkeypatch):
-    """A chain of near copies, more than a block of them: links past the first tries come from pairs in blocks."""
-    monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "PAIRS", 20)
-    monkeypatch.setattr(neardup, "ROUNDS", 1)
+@pytest.mark.parametrize("shingles, rounds", [(150, 2), (150, 0), (500_000, 3)])
+def test_near_duplicates_blocks(spark, monkeypatch, shingles, rounds):
+    """A chain of near copies in many blocks: its links are found whichever blocks and tries they fall in."""
+    for name, value in (("BLOCK", 7), ("SHINGLES", shingles), ("PAIRS", 5), ("ROUNDS", rounds)):
+        monkeypatch.setattr(neardup, name, value)
     words = [f"w{i}" for i in range(260)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(50)]
     found = [tuple(r) for r in neardup.near_duplicates(docs(spark, rows)).collect()]

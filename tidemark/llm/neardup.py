@@ -7,15 +7,17 @@ share at least one of 36 exact keys: all pairs within distance 17 meet in a buck
 similarity of 0.8 a signature differs in 7.2 places on average, and in more than 17 with probability 2e-5; every
 link is confirmed on the full sets.
 
-Equal sets are one class from the start. Buckets aren't expanded into pairs: in each round every class of a bucket is
-tried against one class of another component of that bucket, confirmed links join components, and what then still
-lies in one bucket but in different components is tried pair by pair, in blocks, inside the tasks.
+Equal sets are one class from the start. No pairs of a bucket are written out: a task compares a block of a bucket
+and passes on a spanning forest of the pairs within the distance, which has fewer edges than the block has rows. The
+components of all forests are families, outside which no link can lie. Inside a family every two classes that aren't
+linked yet are compared on their full sets, in blocks, and again only a forest of the links goes on. In families of
+more than one block some links are found beforehand, by trying all against one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,10 @@ from tidemark.llm.components import components
 
 CHUNKS, WIDTH, DISTANCE = 9, 4, 17
 PLACES = CHUNKS * WIDTH
-#: Rounds of one try per class before the rest is tried pair by pair; they change the cost, not the result.
+#: Tries of all classes of a large family against one of them; they change the cost, not the result.
 ROUNDS = 3
-#: Classes of a bucket compared in one block, and pairs confirmed in one block.
-BLOCK, PAIRS = 1000, 4000
+#: Rows of a bucket compared in one block; shingles of a family's sets in one block; pairs tried in one block.
+BLOCK, SHINGLES, PAIRS = 2000, 500_000, 4000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPREAD = np.random.default_rng(36).integers(0, 2**63, (2, PLACES), dtype=np.uint64)
@@ -133,69 +135,82 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInPandas(run, "cls binary, keys array<bigint>").select("cls", F.explode("keys").alias("key"))
 
 
-def _near(percent: int):
-    """Keeps pairs whose signatures are within the distance and whose sizes allow the similarity."""
+def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of n nodes; neighbours(i, left) are those of the nodes `left` that i is tied to."""
+    left, edges = np.arange(n), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            tied = neighbours(i, left)
+            edges += [(i, j) for j in left[tied]]
+            queue += left[tied].tolist()
+            left = left[~tied]
+    return edges
+
+
+def _blocks(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """rows once for each two blocks (b0 <= b1) of its key that they are in; parts: (key, nb). Any two rows of a key meet in some block."""
+    dealt = rows.join(parts, key).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.withColumn("b0", F.least("blk", "j")).withColumn("b1", F.greatest("blk", "j")).drop("blk", "j", "nb")
+    return dealt.repartition(key, "b0", "b1").sortWithinPartitions(key, "b0", "b1")
+
+
+def _families(members: DataFrame, percent: int) -> DataFrame:
+    """(cls, fam): components over all pairs that share a bucket of members (key, cls, n, sig), are within the distance, and whose sizes allow the similarity. Classes without such a pair are left out."""
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, PLACES) for c in ("sig_x", "sig_y"))
-                d = (a != b).sum(axis=1)
-                n, m = pdf["n_x"].to_numpy(), pdf["n_y"].to_numpy()
-                ok = (d <= DISTANCE) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                yield pdf.loc[ok, ["x", "y"]].assign(d=d[ok].astype(np.int32))
-
-    return run
-
-
-def _tries(rows: DataFrame, salt: int, percent: int) -> DataFrame:
-    """(x, y): each class of rows (key, cls, comp, n, sig) with the nearest of the classes that its buckets offer from other components. A bucket offers one of its first component and one of its last, another one each round."""
-    one = F.struct("comp", F.xxhash64("cls", F.lit(salt)).alias("r"), "cls", "n", "sig")
-    offers = written(rows.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.comp <> hi.comp"), "offers")
-    other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi"))
-    pairs = rows.join(offers, "key").select(F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x"), other.alias("o"))
-    pairs = pairs.select("x", F.col("o.cls").alias("y"), "n_x", F.col("o.n").alias("n_y"), "sig_x", F.col("o.sig").alias("sig_y"))
-    near = pairs.mapInPandas(_near(percent), "x binary, y binary, d int")
-    return near.groupBy("x").agg(F.min(F.struct("d", F.xxhash64("x", "y").alias("r"), "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-
-
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """(g, x, y) for all pairs that share a bucket of rows (key, cls, comp, n, sig), lie in different components and are near by signature.
-
-    A bucket is dealt into blocks and each two of its blocks meet in one group, so no task gets a whole large bucket;
-    a pair comes out only at the first key that it shares."""
-    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 1 AND lo <> hi").select("key", "m"), "counts")
-    dealt = rows.join(counts, "key").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("key", F.least("blk", "j").alias("b0"), F.greatest("blk", "j").alias("b1"), "blk", "cls", "comp", "n", "sig")
-
-    def compare(group: pd.DataFrame, b0: int, b1: int) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, PLACES)
-        n, cls, comp, tag = group["n"].to_numpy(), group["cls"].to_numpy(), group["comp"].to_numpy(), int(group["key"].iloc[0]) >> 48
-        left, right = (np.flatnonzero(group["blk"].to_numpy() == b) for b in (b0, b1))
+        for _, group in _groups(batches, ["key", "b0", "b1"]):
+            sig, n, cls = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, PLACES), group["n"].to_numpy(), group["cls"].to_numpy()
+
+            def near(i, left, sig=sig, n=n):
+                return ((sig[left] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[left], n[i]) >= percent * np.maximum(n[left], n[i]))
+
+            if edges := _forest(len(group), near):
+                yield pd.DataFrame([(cls[i], cls[j]) for i, j in edges], columns=["a", "b"])
+
+    edges = _blocks(members, "key", written(parts, "parts")).mapInPandas(run, "a binary, b binary")
+    return components(edges).withColumnsRenamed({"node": "cls", "label": "fam"})
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y): enough links to join all classes of rows (fam, cls, comp, set) that links join, beyond their comps.
+
+    In a block, each class outside the block's largest component is measured against all others at once: its shingles
+    are marked, and the marks under each set summed."""
+    sizes = rows.groupBy("fam").agg((F.ceil(F.sum(F.length("set")) / (8 * SHINGLES))).cast("int").alias("nb"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    parts = written(sizes.where("lo <> hi").select("fam", "nb"), "parts")
+
+    def links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+        sets = [np.frombuffer(s, np.uint64) for s in group["set"]]
+        sizes, cls = np.array([len(s) for s in sets]), group["cls"].to_numpy()
         comps = pd.factorize(group["comp"])[0]
-        found = []
-        for i in left:
-            js = right[right > i] if b0 == b1 else right
-            js = js[(comps[js] != comps[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-            if not len(js):
-                continue
-            same = sig[js] == sig[i]
-            near = same.sum(axis=1) >= PLACES - DISTANCE
-            js, same = js[near], same[near].reshape(-1, CHUNKS, WIDTH)
-            hits = same.sum(axis=2)
-            first = (hits >= WIDTH - 1).argmax(axis=1)
-            at = np.arange(len(js))
-            omitted = np.where(hits[at, first] == WIDTH, 0, (~same[at, first]).argmax(axis=1))
-            found += [(min(comp[i], comp[j]), *sorted((cls[i], cls[j]))) for j in js[first * WIDTH + omitted == tag]]
-        return pd.DataFrame(found, columns=["g", "x", "y"])
+        counts = np.bincount(comps)
+        if len(counts) == 1:
+            return []
+        distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum([0, *sizes])[:-1]
+        marks, found = np.zeros(len(distinct), np.int32), []
+        order = np.argsort(counts[comps], kind="stable")
+        for i in order[: len(order) - counts.max()]:
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[flat], starts)
+            marks[own] = 0
+            linked = (100 * both >= percent * (sizes + sizes[i] - both)) & (comps != comps[i])
+            for j in np.flatnonzero(linked):
+                if comps[j] != comps[i]:  # one link for each component that it reaches
+                    found.append((cls[i], cls[j]))
+                    comps[comps == comps[j]] = comps[i]
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, b0, b1), group in _groups(batches, ["key", "b0", "b1"]):
-            if len(group) > 1:
-                yield compare(group, b0, b1)
+        for _, group in _groups(batches, ["fam", "b0", "b1"]):
+            if found := links(group):
+                yield pd.DataFrame(found, columns=["x", "y"])
 
-    return dealt.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1").mapInPandas(run, "g binary, x binary, y binary")
+    return _blocks(rows, "fam", parts).mapInPandas(run, "x binary, y binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -218,35 +233,28 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tu
         yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, square: bool) -> DataFrame:
-    """Pairs (g, x, y) whose full sets are similar enough. Pairs of one g are dealt into blocks of about PAIRS; each
-    block gets each of its sets once. square: x and y both vary in a g; else y is one and only x is dealt."""
-    counts = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    counts = written(counts.select("g", (F.ceil(F.sqrt(F.col("m") / PAIRS)) if square else F.ceil(F.col("m") / PAIRS)).cast("int").alias("s")), "counts")
-    dealt = pairs.join(counts, "g").select("g", F.pmod(F.xxhash64("x"), F.col("s")).cast("int").alias("i"), (F.pmod(F.xxhash64("y"), F.col("s")) if square else F.lit(0)).cast("int").alias("j"), "x", "y")
-    dealt = written(dealt, "dealt")
-    ends = dealt.select("g", "i", "j", F.col("x").alias("cls")).union(dealt.select("g", "i", "j", "y")).distinct()
-    none = F.lit(None).cast("binary")
-    rows = ends.join(sets, "cls").select("g", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("x"), none.alias("y"), "set")
-    rows = rows.union(dealt.select("g", "i", "j", F.lit(1), "x", "y", none))
+def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (x, y) whose full sets are similar enough. Many x are tried against one y; they are dealt into blocks, each of which gets y's set once."""
+    counts = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("nb")), "counts")
+    own = pairs.join(sets, pairs["x"] == sets["cls"]).select("y", "x", "set").join(counts, "y")
+    own = own.select("y", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"), F.lit(1).alias("kind"), "x", "set")
+    one = counts.join(sets, counts["y"] == sets["cls"]).select("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.lit(0).alias("kind"), F.col("y").alias("x"), "set")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, at = {}, None
+        against = None
         for pdf in batches:
             out = []
-            for g, i, j, kind, x, s, y in zip(*[pdf[c] for c in ("g", "i", "j", "kind", "x", "set", "y")], strict=True):
-                if (g, i, j) != at:
-                    here, at = {}, (g, i, j)
+            for y, kind, x, s in zip(pdf["y"], pdf["kind"], pdf["x"], pdf["set"], strict=True):
+                a = np.frombuffer(s, np.uint64)
                 if kind == 0:
-                    here[x] = np.frombuffer(s, np.uint64)
-                elif x in here and y in here:
-                    a, b = here[x], here[y]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        out.append((x, y))
+                    against = a
+                    continue
+                both = len(np.intersect1d(a, against, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(against) - both):
+                    out.append((x, y))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "kind").mapInPandas(run, "x binary, y binary")
+    return one.union(own).repartition("y", "b").sortWithinPartitions("y", "b", "kind").mapInPandas(run, "x binary, y binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -265,10 +273,8 @@ def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
     keyed = _keyed(classes)
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
     members = written(keyed.join(shared, "key").join(classes.select("cls", "n", "sig"), "cls"), "members")
-    labels = written(members.select("cls").distinct().select("cls", F.col("cls").alias("comp")), "own")
-    if not labels.isEmpty():
-        sets = _sets(docs, classes.join(labels, "cls", "left_semi").select("cls", "low"), k)
-        labels = _linked(members, labels, sets, percent)
+    families = _families(members, percent)
+    labels = _linked(families, _sets(docs, classes.join(families, "cls", "left_semi").select("cls", "low"), k), percent)
     joined = classes.select("cls", "low").join(labels, "cls", "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = written(joined.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
     ids = written(joined.select("cls", "comp").join(lows, "comp").select("cls", "component_id"), "ids")
@@ -293,24 +299,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return written(texts.mapInPandas(run, "cls binary, set binary").dropDuplicates(["cls"]), "sets")
 
 
-def _linked(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """labels (cls, comp) after all links between members (key, cls, n, sig) of one bucket."""
+def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, comp) of the classes of all families: comp is the least class that links reach."""
+    labels = written(families.select("fam", "cls", F.col("cls").alias("comp")), "own")
 
-    def joined(found: DataFrame) -> DataFrame:
+    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
         name = lambda a, b: labels.select(F.col("cls").alias(a), F.col("comp").alias(b))
         edges = found.join(name("x", "a"), "x").join(name("y", "b"), "y").where("a <> b").select("a", "b")
         new = components(edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
-        return written(labels.join(new, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "own")
-
-    for salt in range(ROUNDS):
-        tries = written(_tries(members.join(labels, "cls"), salt, percent), "tries")
-        found = written(_confirmed(tries.select(F.col("y").alias("g"), "x", "y"), sets, percent, square=False), "found")
-        if found.isEmpty():
-            break
-        labels = joined(found)
-    rest = written(_rest(members.join(labels, "cls"), percent), "rest")
-    found = written(_confirmed(rest, sets, percent, square=True), "found")
-    return labels if found.isEmpty() else joined(found)
+        return written(labels.join(new, "comp", "left").select("fam", "cls", F.coalesce("to", "comp").alias("comp")), "own")
+
+    large = sets.join(labels, "cls").groupBy("fam").agg(F.sum(F.length("set")).alias("bytes")).where(F.col("bytes") > 8 * SHINGLES).select("fam")
+    large = written(large, "large")
+    for salt in range(ROUNDS if not large.isEmpty() else 0):
+        rows = labels.join(large, "fam")
+        ones = rows.groupBy("fam").agg(F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("r"), "cls", "comp")).alias("one"))
+        ones = written(ones.select("fam", F.col("one.cls").alias("y"), F.col("one.comp").alias("its")), "ones")
+        pairs = written(rows.join(ones, "fam").where("comp <> its").select(F.col("cls").alias("x"), "y"), "pairs")
+        found = written(_tried(pairs, sets, percent), "found")
+        if not found.isEmpty():
+            labels = joined(labels, found)
+    found = written(_compared(labels.join(sets, "cls"), percent), "found")
+    return (labels if found.isEmpty() else joined(labels, found)).select("cls", "comp")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
