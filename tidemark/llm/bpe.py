@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -121,18 +122,24 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+@lru_cache(maxsize=1)
+def _both(path: str) -> Remembered:
+    """chunk -> (number of ids, ids as text, decoded); one for all tasks of a worker process."""
+    codec = Codec(path)
+
+    def both(chunk: str) -> tuple[int, str, str]:
+        ids = codec.encode(chunk)
+        return len(ids), " ".join(map(str, ids)), codec.decode(ids)
+
+    return Remembered(both)
+
+
 def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null text is empty: no ids, nothing decoded."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
-
-        def both(chunk: str) -> tuple[int, str, str]:
-            ids = codec.encode(chunk)
-            return len(ids), " ".join(map(str, ids)), codec.decode(ids)
-
-        remembered = Remembered(both)
+        remembered = _both(path)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
