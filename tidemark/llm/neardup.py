@@ -161,14 +161,24 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
     parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, group in _groups(batches, ["key", "b0", "b1"]):
-            sig, n, cls = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, PLACES), group["n"].to_numpy(), group["cls"].to_numpy()
-
-            def near(i, left, sig=sig, n=n):
-                return ((sig[left] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[left], n[i]) >= percent * np.maximum(n[left], n[i]))
-
-            if edges := _forest(len(group), near):
-                yield pd.DataFrame([(cls[i], cls[j]) for i, j in edges], columns=["a", "b"])
+        for pdf in _whole(batches, ["key", "b0", "b1"]):
+            sig, n, cls = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, PLACES), pdf["n"].to_numpy(), pdf["cls"].to_numpy()
+
+            def near(i, j):
+                return ((sig[j] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))  # noqa: B023
+
+            starts = _starts(pdf, ["key", "b0", "b1"])
+            sizes = np.diff([*starts, len(pdf)])
+            two = starts[sizes == 2]
+            two = two[near(two, two + 1)]  # all buckets of two at once
+            left, right = [two], [two + 1]
+            for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+                if edges := _forest(size, lambda i, rest, at=at: near(np.full(1, at + i), at + rest)):
+                    edges = at + np.array(edges)
+                    left.append(edges[:, 0])
+                    right.append(edges[:, 1])
+            left, right = np.concatenate(left), np.concatenate(right)
+            yield pd.DataFrame({"a": cls[left], "b": cls[right]}).drop_duplicates()
 
     edges = _blocks(members, "key", written(parts, "parts")).mapInPandas(run, "a binary, b binary")
     return components(edges).withColumnsRenamed({"node": "cls", "label": "fam"})
@@ -206,31 +216,48 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, group in _groups(batches, ["fam", "b0", "b1"]):
+        for group in _groups(batches, ["fam", "b0", "b1"]):
             if found := links(group):
                 yield pd.DataFrame(found, columns=["x", "y"])
 
     return _blocks(rows, "fam", parts).mapInPandas(run, "x binary, y binary")
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal keys in sorted batches; a run may span batches."""
+def _starts(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(pdf), bool)
+    if len(pdf):
+        new[1:] = False
+        for c in by:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut anew so that no run of equal keys spans two."""
     held: list[pd.DataFrame] = []
-    last = None
     for pdf in batches:
         if not len(pdf):
             continue
-        marks = pdf[by].ne(pdf[by].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(marks)
-        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
-            key = tuple(pdf[by].iloc[a])
-            if held and key != last:
-                yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(pdf.iloc[a:b].reset_index(drop=True))
-            last = key
+        if held and tuple(pdf[by].iloc[0]) != tuple(held[-1][by].iloc[-1]):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        at = int(_starts(pdf, by)[-1])
+        if at:
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[at:])
     if held:
-        yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield pd.concat(held, ignore_index=True)
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys of sorted batches."""
+    for pdf in _whole(batches, by):
+        starts = _starts(pdf, by)
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            yield pdf.iloc[a:b]
 
 
 def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
