@@ -136,12 +136,12 @@ def _keyed(classes: DataFrame) -> DataFrame:
 
 
 def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of n nodes; neighbours(i, left) are those of the nodes `left` that i is tied to."""
+    """Edges of a spanning forest of n nodes, around the first of them as far as that goes, so that buckets with the same first classes give the same edges; neighbours(i, left) are those of the nodes `left` that i is tied to."""
     left, edges = np.arange(n), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            i = queue.pop()
+            i = queue.pop(0)
             tied = neighbours(i, left)
             edges += [(i, j) for j in left[tied]]
             queue += left[tied].tolist()
@@ -153,7 +153,7 @@ def _blocks(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     """rows once for each two blocks (b0 <= b1) of its key that they are in; parts: (key, nb). Any two rows of a key meet in some block."""
     dealt = rows.join(parts, key).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumn("b0", F.least("blk", "j")).withColumn("b1", F.greatest("blk", "j")).drop("blk", "j", "nb")
-    return dealt.repartition(key, "b0", "b1").sortWithinPartitions(key, "b0", "b1")
+    return dealt.repartition(key, "b0", "b1").sortWithinPartitions(key, "b0", "b1", "cls")
 
 
 def _families(members: DataFrame, percent: int) -> DataFrame:
