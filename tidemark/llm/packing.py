@@ -13,13 +13,14 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Remembered, chunks, default_path
+from tidemark.llm.bpe import chunks, default_path
 from tidemark.llm.common import written
 
 SIZE = 2048
@@ -28,25 +29,95 @@ END = 0
 SALT_ROWS = 10_000
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case, as the tokenizer has it letter by letter, unless a letter or a special token could come out differently."""
+    return text if "<" in text or "Σ" in text or "İ" in text else text.lower()
+
+
+class Encoder:
+    """The library's ids of texts, as packed 32-bit numbers. Chunks between blanks that aren't remembered are encoded
+    many at once, parted by a special token: the library cuts those out before anything else, so the chunks stay apart."""
+
+    def __init__(self, path: str, most: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.special = [t for t, _ in special]
+        self.border, self.border_id = special[0] if special else (None, -1)
+        end = self.tokenizer.model.end_of_word_suffix or "</w>"
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        self.known: dict[str, bytes] = {}
+        self.most = most
+
+    def _packed(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        stems = {c[:-1] if c[-1:] in ",." and c[:-1].isalpha() else c for c in new}  # a word and its mark are two words to the library
+        stems = (stems | {",", "."}).difference(known)
+        for c in [c for c in stems if self.border is None or "<" in c and any(t in c for t in self.special)]:
+            known[c] = self._packed(c).tobytes()
+        words = [c for c in stems if c.isalpha() and c.lower().isalpha()]
+        if words:  # all letters: one word each, whose last id alone has the mark of a word's end
+            ids = self._packed(" ".join(words))
+            cuts = np.flatnonzero(self.ends[ids]).tolist()
+            if len(cuts) == len(words):
+                whole = ids.tobytes()
+                for c, a, b in zip(words, [-1, *cuts], cuts, strict=False):
+                    known[c] = whole[4 * a + 4 : 4 * b + 4]
+        if many := [c for c in stems if c not in known]:
+            ids = self._packed(self.border.join(many))
+            cuts = np.flatnonzero(ids == self.border_id).tolist()
+            whole = ids.tobytes()
+            for c, a, b in zip(many, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                known[c] = whole[4 * a + 4 : 4 * b]
+        for c in new.difference(known):
+            known[c] = known[c[:-1]] + known[c[-1]]
+
+    def __call__(self, texts: pd.Series) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, its ids) in order, for runs of texts of bounded total length; null is empty."""
+        whole = [t if isinstance(t, str) else "" for t in texts]
+        at = 0
+        while at < len(whole):
+            to, n = at, 0
+            while to < len(whole) and (to == at or n + len(whole[to]) <= 1 << 20):
+                n += len(whole[to])
+                to += 1
+            split = [chunks(_lowered(t)) for t in whole[at:to]]
+            if len(self.known) > self.most:
+                self.known.clear()
+            if new := set().union(*split).difference(self.known):
+                self._learn(new)
+            for k, own in enumerate(split):
+                yield at + k, b"".join(map(self.known.__getitem__, own))
+            at = to
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece. Null text is empty: one piece with the end id alone."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        remembered = Remembered(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
-        end = np.array([END], "<u4").tobytes()
+        encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = b"".join([*map(remembered.__getitem__, chunks(text if isinstance(text, str) else "")), end])
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            rows, ids_of = [], pdf["doc_id"].tolist()
+            for at, packed in encoder(pdf["text"]):
+                ids = packed + end
+                for k, first in enumerate(range(0, len(ids), 4 * size)):
+                    part = ids[first : first + 4 * size]
+                    rows.append((ids_of[at], k, first // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
