@@ -256,13 +256,11 @@ def places(made: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """The pieces with sequence_id and offset. The number of salts follows the number of rows, so no window is large however many pieces share a length."""
-    rows = parts.count()
-    salts = max(1, -(-rows // SALT_ROWS))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counts = written(counts, "counts")
-    stock = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).toLocalIterator()}  # at most `size` rows
+    """The pieces with sequence_id and offset. A length has a salt for every SALT_ROWS of its pieces, so no window is large however many share it."""
+    stock = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most `size` rows
+    salts = parts.sparkSession.createDataFrame([(x, -(-n // SALT_ROWS)) for x, n in stock.items()], "length bigint, _salts int")
+    salted = parts.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_salts")).cast("int")).drop("_salts")
+    counts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts")
     table = places(plan(stock, size))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     firsts = written(counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_first")), "firsts")
