@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches, tidy
+
 TOKENIZER = "word_bpe_49k.json"
 #: White space as the tokenizer's patterns know it, and the pattern of its words.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -137,6 +139,7 @@ def _both(path: str) -> Remembered:
 def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null text is empty: no ids, nothing decoded."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         remembered = _both(path)
@@ -148,4 +151,4 @@ def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
                 out.append((sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(strings).encode()).hexdigest()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text")).mapInPandas(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

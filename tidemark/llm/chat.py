@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small_batches, tidy, written
 
 #: The strings that mark turns, and others of the same family that no text may bring in.
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -107,6 +107,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
     """conv_id, branch, formatted, loss (array of struct(start, stop)) of each chosen path of messages (conv_id, node,
     parent, role, text, score). Null roles and texts are empty; (conv_id, node) is a key. Rows with a null conv_id are one
     conversation. A path is gathered in one row, as its string is one value."""
+    small_batches(messages.sparkSession)
     on = paths(messages.select("conv_id", "node", "parent", "score"), best).withColumnsRenamed({"conv_id": "c2", "node": "n2"})
     own = messages.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = on.join(own, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
@@ -118,7 +119,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
             out = pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "branch": pdf["branch"]})
             yield out.assign(formatted=[m[0] for m in made], loss=[[{"start": a, "stop": b} for a, b in m[1]] for m in made])
 
-    return whole.mapInPandas(run, "conv_id bigint, branch int, formatted string, loss array<struct<start:bigint,stop:bigint>>")
+    return whole.mapInPandas(tidy(run), "conv_id bigint, branch int, formatted string, loss array<struct<start:bigint,stop:bigint>>")
 
 
 def linear(rows: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def digests(made: DataFrame) -> DataFrame:
                 out.append((conv_id, len(turns), sha("".join([f"{r}\n{t}\n" for r, t in turns])), len(learned), sha(learned), len(text)))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
-    return made.select("conv_id", "formatted", "loss").mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return made.select("conv_id", "formatted", "loss").mapInPandas(tidy(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op10(rows: DataFrame) -> DataFrame:

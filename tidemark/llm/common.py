@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once, for this session: a worker holds a few MB of texts however long the
+    rows are. Smaller settings of the session's own stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def tidy(run: Callable) -> Callable:
+    """run, with the memory that it has freed given back to the system at its end: worker processes live on between tasks."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def digest(text: Column) -> Column:
     """128 bits of a string's UTF-8 bytes, as 16 bytes."""
     return F.unhex(F.md5(text))

@@ -17,13 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tidemark.llm.common import fresh
+from tidemark.llm.common import fresh, small_batches, tidy
 
 UNKNOWN = "und"
 DIMENSIONS = 2048
 #: Languages are a small closed set of labels; training refuses to bring more prototypes than this to the driver.
 MAX_LANGUAGES = 1000
-_PIECE = 1 << 20  # characters looked at together
+_PIECE = 1 << 18  # characters looked at together
 
 
 class Letters:
@@ -65,7 +65,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s, k = ids[cp], len(letters) + 1
     code = (s[:-2] * k + s[1:-1]) * k + s[2:]
     ok = s[1:-1] > 0
-    if k**3 <= 1 << 24:
+    if k**3 <= 1 << 21:
         distinct = np.flatnonzero(np.bincount(code[ok], minlength=1))
         lookup = np.full(k**3, -1, np.int64)
         lookup[distinct] = np.arange(len(distinct))
@@ -128,8 +128,9 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
                 total += counts[part] @ vectors.astype(np.float64)  # whole numbers below 2**53: exact in any order
             yield pd.DataFrame({"lang": lang, "place": np.arange(dimensions, dtype=np.int32), "value": total.astype(np.int64)})
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = rows.mapInPandas(bundle, "lang string, place int, value bigint").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = rows.mapInPandas(tidy(bundle), "lang string, place int, value bigint").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     cells = sums.limit(MAX_LANGUAGES * dimensions + 1).toPandas()
     if len(cells) > MAX_LANGUAGES * dimensions:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -147,6 +148,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
 
     Null text, text without a letter, or no prototypes: `und` with score 0. Ties go to the first language by name.
     Texts are looked at whole."""
+    small_batches(docs.sparkSession)
     own = fresh(keep, "_text")
     names = sorted(prototypes)
     weights = np.stack([prototypes[n] for n in names], axis=1).astype(np.float32) if names else None
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
             yield pdf.assign(lang_pred=pred, score=best)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col("text").alias(own)).mapInPandas(score, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:

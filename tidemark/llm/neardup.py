@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_rows, written
+from tidemark.llm.common import as_rows, small_batches, tidy, written
 from tidemark.llm.components import components
 
 CHUNKS, WIDTH, DISTANCE = 9, 4, 17
@@ -48,7 +48,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out
         return out
@@ -93,7 +93,7 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(items: list[bytes], most: int = 4_000_000) -> Iterator[slice]:
+def _slices(items: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
     """Runs of texts of bounded total length; a longer one stands alone, whole."""
     at = n = 0
     for i, x in enumerate(items):
@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part].astype("Int64"), "h": pdf["h"].iloc[part], "n_shingles": [len(s) for s in sets], "cls": cls, "sig": sig})
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, h bigint, n_shingles bigint, cls binary, sig binary")
+    return rows.mapInPandas(tidy(run), "doc_id bigint, h bigint, n_shingles bigint, cls binary, sig binary")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, PLACES)
                 yield pd.DataFrame({"cls": pdf["cls"], "keys": list(keys(sig))})
 
-    return classes.select("cls", "sig").mapInPandas(run, "cls binary, keys array<bigint>").select("cls", F.explode("keys").alias("key"))
+    return classes.select("cls", "sig").mapInPandas(tidy(run), "cls binary, keys array<bigint>").select("cls", F.explode("keys").alias("key"))
 
 
 def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -180,7 +180,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
             left, right = np.concatenate(left), np.concatenate(right)
             yield pd.DataFrame({"a": cls[left], "b": cls[right]}).drop_duplicates()
 
-    edges = _blocks(members, "key", written(parts, "parts")).mapInPandas(run, "a binary, b binary")
+    edges = _blocks(members, "key", written(parts, "parts")).mapInPandas(tidy(run), "a binary, b binary")
     return components(edges).withColumnsRenamed({"node": "cls", "label": "fam"})
 
 
@@ -220,7 +220,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             if found := links(group):
                 yield pd.DataFrame(found, columns=["x", "y"])
 
-    return _blocks(rows, "fam", parts).mapInPandas(run, "x binary, y binary")
+    return _blocks(rows, "fam", parts).mapInPandas(tidy(run), "x binary, y binary")
 
 
 def _starts(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
@@ -281,7 +281,7 @@ def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append((x, y))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    return one.union(own).repartition("y", "b").sortWithinPartitions("y", "b", "kind").mapInPandas(run, "x binary, y binary")
+    return one.union(own).repartition("y", "b").sortWithinPartitions("y", "b", "kind").mapInPandas(tidy(run), "x binary, y binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = written(sketch(docs, k), "sketch")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
@@ -323,7 +324,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 out = [(c, s.tobytes()) for c, s in zip(cls[part], shingle_sets(texts[part], k, words), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
                 yield pd.DataFrame(out, columns=["cls", "set"])
 
-    return written(texts.mapInPandas(run, "cls binary, set binary").dropDuplicates(["cls"]), "sets")
+    return written(texts.mapInPandas(tidy(run), "cls binary, set binary").dropDuplicates(["cls"]), "sets")
 
 
 def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import chunks, default_path
-from tidemark.llm.common import written
+from tidemark.llm.common import small_batches, tidy, written
 
 SIZE = 2048
 END = 0
@@ -108,6 +108,7 @@ def _encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece. Null text is empty: one piece with the end id alone."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
@@ -121,8 +122,10 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        if len(encoder.known) > 100_000:  # the worker lives on
+            encoder.known.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -281,7 +284,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
             yield pdf.assign(sequence_id=sequence, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return numbered.select(*columns, "_k", "_first").mapInPandas(place, f"{schema}, sequence_id bigint, offset bigint")
+    return numbered.select(*columns, "_k", "_first").mapInPandas(tidy(place), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def op5(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_rows, written
+from tidemark.llm.common import as_rows, small_batches, tidy, written
 
 MIN_WORDS = 25
 _BORDER = re.compile(r"(?<=[.!?])[ \t]|\n")
@@ -39,13 +39,14 @@ def _units(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, h, text in zip(pdf["doc_id"].astype("Int64"), pdf["h"], pdf["text"], strict=True):
                 rows += [(doc_id, h, u, *x) for u, x in enumerate(units_of(text))]
-                if len(rows) > 200_000:
+                if len(rows) > 30_000:
                     yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
                     rows = []
             yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, h bigint, u int, start int, stop int, words int, digest binary")
+    return rows.mapInPandas(tidy(run), "doc_id bigint, h bigint, u int, start int, stop int, words int, digest binary")
 
 
 _COLUMNS = ["doc_id", "h", "u", "start", "stop", "words", "digest"]
@@ -86,6 +87,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
+    small_batches(docs.sparkSession)
     cut_udf = F.pandas_udf(cut, "string")
     # one row per changed document: its spans, at most one for every `min_words` of its words
     per_doc = written(spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
