@@ -12,7 +12,7 @@ from tidemark.session import get_session
 from tidemark.sources.tables import register_views
 
 
-def show(df: DataFrame, out=sys.stdout, width: int = 25) -> int:
+def show(df: DataFrame, out=None, width: int = 25) -> int:
     """Rows as they come from the partitions, one partition in memory at a time."""
     cell = lambda x: ("NULL" if x is None else str(x))[:width].ljust(width)
     print(" ".join(map(cell, df.columns)), file=out)
