@@ -150,9 +150,10 @@ def brute_spans(rows, min_words):
 
 
 def test_units():
-    text = "One. Two  words!\n\nÉnd of. line\n . \nlast"
-    assert [text[a:b] for a, b, _, _ in substrings.units_of(text)] == ["One.", "Two  words!", "Énd of.", "line", " .", "last"]
+    text = "One. Two  words!\n\nÉnd of it all. line x! y z\n . \nlast one is. of five. And"
+    assert [text[a:b] for a, b, _, _ in substrings.units_of(text)] == ["One. Two  words!", "Énd of it all.", "line x! y z", " . ", "last one is. of five.", "And"]
     assert substrings.units_of("TWO\twords.")[0][3] == substrings.units_of(" two Words.")[0][3]
+    assert [x[2] for x in substrings.units_of("A!! B!! C!! D!! E!!")] == [4, 1] and substrings.units_of(" \n. "[:2]) == []
 
 
 def test_substrings(spark, real):

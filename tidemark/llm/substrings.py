@@ -1,10 +1,11 @@
 """Substring dedup by hashing small units of text.
 
-A unit is a sentence of a line: a line ends at a line feed, a sentence at . ! or ? before a blank. (Whole lines and
-paragraphs miss passages pasted into the middle of a line; whole lines that repeat are runs of repeated sentences, so
-nothing that line hashing finds is lost.) Units are normalised (case folded, white space collapsed) and their digests
-grouped over all documents. The earliest occurrence, by doc_id, text and place, stays. A run of neighbouring units that
-all occur earlier is removed if it has `min_words` words or more, so stock phrases stay where they stand alone.
+A unit is a sentence of a line: a line ends at a line feed, a sentence at . ! or ? before a blank, but sentences of a
+line are joined until they have `UNIT_WORDS` words, since shorter ones repeat by chance. (Whole lines and paragraphs
+miss passages pasted into the middle of a line; whole lines that repeat are runs of repeated units, so nothing that
+line hashing finds is lost.) Units are normalised (case folded, white space collapsed) and their digests grouped over
+all documents. The earliest occurrence, by doc_id, text and place, stays. A run of neighbouring units that all occur
+earlier is removed if it has `min_words` words or more, so stock phrases stay where they stand alone.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_rows, small_batches, tidy, written
 
-MIN_WORDS = 25
-_BORDER = re.compile(r"(?<=[.!?])[ \t]|\n")
+MIN_WORDS, UNIT_WORDS = 20, 4
+_BORDER = re.compile(r"(?<=[.!?])[ \t]|(\n)")
 
 
 def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each unit with a word; offsets count characters of the text as it is."""
-    out, at = [], 0
-    for unit in _BORDER.split(text):
-        if words := unit.casefold().split():
-            out.append((at, at + len(unit), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()))
-        at += len(unit) + 1
+    out, words, begin, at = [], [], 0, 0
+    parts = [*_BORDER.split(text), "\n"]
+    for piece, line_feed in zip(parts[::2], parts[1::2], strict=True):
+        if not words:
+            begin = at
+        words += piece.casefold().split()
+        at += len(piece)
+        if words and (line_feed or len(words) >= UNIT_WORDS):
+            out.append((begin, at, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()))
+            words = []
+        at += 1
     return out
 
 
