@@ -63,12 +63,19 @@ class VersionedTable:
             stream.close()
 
     def _point(self, version: str) -> None:
+        """Moves the pointer: a whole file is renamed over the old one, so no reader sees half of it."""
         fs, path = self._fs()
-        out = fs.create(path(f"{self.path}/CURRENT"), True)
+        fresh, pointer = path(f"{self.path}/.CURRENT-{version}"), path(f"{self.path}/CURRENT")
+        out = fs.create(fresh, True)
         try:
             out.write(version.encode())
         finally:
             out.close()
+        jvm = self.spark._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
 
     def read(self) -> DataFrame:
         if (v := self._current()) is None:
