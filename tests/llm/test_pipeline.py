@@ -12,7 +12,7 @@ from tests.llm.test_documents import brute_components, brute_lines, brute_pieces
 from tidemark.llm import bpe, language, substrings
 
 #: sf0.001 in whole, hard rows beside it. Two texts of one id are ordered by a hash that only the engine knows, so that id is left out.
-SCHEMA = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {EXTRA}"
+SCHEMA = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {EXTRA}, lang_pred string, Score int, N_Lines string, runs int"
 
 
 def rows(spark):
@@ -26,7 +26,7 @@ def steps(spark):
     """[documents, result of the first stage, ...] as lists of rows, and the DataFrames."""
     from tidemark.llm.common import written
 
-    docs = spark.createDataFrame([(i, t, g, "s", None if t is None else len(t), "h", "_id", "cls", 1, "line", "w", "l", "t") for i, t, g in rows(spark)], SCHEMA)
+    docs = spark.createDataFrame([(i, t, g, "s", None if t is None else len(t), "h", "_id", "cls", 1, "line", "w", "l", "t", f"p{i}", 7, f"n{i}", 8) for i, t, g in rows(spark)], SCHEMA)
     tables = [written(docs, "documents")]
     for name, stage in P.STAGES:
         tables.append(written(stage(spark, tables[-1], "unused"), name))
@@ -64,10 +64,10 @@ def brute_language(docs):
     for r, v in zip(docs, own, strict=True):
         if r["lang"] is not None and r["text"] is not None:
             sums[r["lang"]] += v
-    kept = []
+    kept, least = [], 1.04 / sum(s.any() for s in sums.values())
     for r, v in zip(docs, own, strict=True):
         cosines = np.array([v @ s / np.linalg.norm(s) for s in sums.values() if s.any()]).clip(0)
-        if v.any() and cosines.sum() > 0 and cosines.max() / cosines.sum() >= P.LEAST_SCORE:
+        if v.any() and cosines.sum() > 0 and cosines.max() / cosines.sum() >= least:
             kept.append(tuple(r))
     return kept
 
@@ -103,6 +103,15 @@ def test_packing(steps):
     check_packing(steps[5])
 
 
+def test_extra_columns(steps):
+    for step in steps[:-1]:
+        assert all((r["lang_pred"], r["Score"], r["N_Lines"], r["runs"]) == (f"p{r['doc_id']}", 7, f"n{r['doc_id']}", 8) for r in step)
+
+
+def test_least_score():
+    assert [P.least_score(n) for n in (0, 1, 2, 4)] == [1.0, 1.0, 0.52, 0.26]
+
+
 def test_lengths(steps):
     for step in steps[2:5]:
         assert all(r["n_chars"] == len(r["text"]) for r in step)

@@ -71,6 +71,14 @@ def fresh(taken: list[str], base: str) -> str:
     return base
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with the columns renamed that are called like one of names in any case; and the columns of df as they were."""
+    low, new = {n.lower() for n in names}, {}
+    for c in df.columns:
+        new[c] = fresh([*df.columns, *names, *new.values()], c) if c.lower() in low else c
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
+
+
 def as_rows(df: DataFrame) -> DataFrame:
     """df with each row as one struct, `row`: no name of df can clash with those of what is joined to it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -147,7 +147,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
     """Columns `keep` of docs with lang_pred and score (0 to 1: the best language's share of the positive cosines).
 
     Null text, text without a letter, or no prototypes: `und` with score 0. Ties go to the first language by name.
-    Texts are looked at whole."""
+    Texts are looked at whole. None of `keep` may be called lang_pred or score."""
     small_batches(docs.sparkSession)
     own = fresh(keep, "_text")
     names = sorted(prototypes)
@@ -190,8 +190,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                         best[i] = share[at].max() / total[at] if total[at] > 0 else 0.0
             yield pdf.assign(lang_pred=pred, score=best)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
+    columns = [F.col(f"`{c}`") for c in keep]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    return docs.select(*columns, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:

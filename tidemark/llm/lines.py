@@ -67,14 +67,14 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def without_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """All rows of docs with text less its later copies, n_lines (of those that aren't blank), n_removed, and runs (first,
-    last). A text with a copy loses its blank lines too; other texts stay as they are to the letter, null ones null
+    last); columns of docs with these three names in any case are replaced. A text with a copy loses its blank lines too; other texts stay as they are to the letter, null ones null
     with 0 lines."""
     runs = repeated_runs(docs, min_lines).groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     runs = written(runs, "runs")
     out = as_rows(docs).join(runs.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (digest(F.col("row.text")) == F.col("h")), "left")
     lines = _filled("row.text")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "runs")]
+    own = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed", "runs")]
     none = F.array().cast("array<struct<first:int,last:int>>")
     return out.select(
         *[F.col(f"row.`{c}`") for c in own],
