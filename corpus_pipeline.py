@@ -9,23 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, lines, neardup, packing, substrings
-from tidemark.llm.common import written
+from tidemark.llm.common import set_aside, written
 
-#: A text whose best language has less than this share of the positive cosines is in no language that was learned.
-LEAST_SCORE = 0.26
+#: A text is in no language that was learned if its best one has less than this many times the share of the positive
+#: cosines that it would have if all were equal.
+LEAST_LEAD = 1.04
+
+
+def least_score(languages: int) -> float:
+    """The least score that keeps a document among so many languages; a single one is always clear."""
+    return min(1.0, LEAST_LEAD / max(1, languages))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; null texts, texts without letters and unclear ones go."""
-    found = language.predict(docs, language.train(docs), docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    prototypes = language.train(docs)
+    rows, back = set_aside(docs, ["lang_pred", "score"])
+    found = language.predict(rows, prototypes, rows.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(prototypes)))).select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go, and documents that they leave without a line."""
-    out = lines.without_runs(docs)
+    rows, back = set_aside(docs, ["n_lines", "n_removed", "runs"])
+    out = lines.without_runs(rows)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*back)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
