@@ -164,6 +164,54 @@ def test_substrings(spark, real):
         assert found
 
 
+def word_windows(rows, n):
+    """(doc_id, start, stop) of each maximal run of n words or more whose windows of n words all occur in an earlier document."""
+    seen, out = set(), []
+    for i, t in rows:
+        m = list(re.finditer(r"\S+", t))
+        own = [tuple(x.group().casefold() for x in m[a : a + n]) for a in range(len(m) - n + 1)]
+        run = []
+        for a, w in [*enumerate(own), (None, None)]:
+            if w in seen:
+                run.append(a)
+            elif run:
+                out.append((i, m[run[0]].start(), m[run[-1] + n - 1].end()))
+                run = []
+        seen.update(own)
+    return out
+
+
+def test_short_copies(spark):
+    """Whole lines of four words or more leave no later copy, nor do passages of over 50 words stay untouched."""
+    word = lambda i: "w" + str(i)
+    fresh = lambda i, k: " ".join(word(1000 * i + j) for j in range(k)) + "."
+    repeated = ["Only four words here.", "A line of nine words that many documents have.", "Three short words."]
+    passage = " ".join(fresh(500 + s, 9) for s in range(8))
+    rows = []
+    for i in range(12):
+        lines_ = [fresh(i, 12), repeated[i % 3], fresh(20 + i, 15)]
+        if i % 4 == 3:
+            lines_.append(fresh(40 + i, 6) + " " + passage + " " + fresh(60 + i, 7))
+        rows.append((i, "\n".join(lines_)))
+    spans = defaultdict(list)
+    for r in substrings.op9(docs(spark, rows)).collect():
+        spans[r["doc_id"]].append((r["start"], r["stop"]))
+    seen, later = set(), 0
+    for i, t in rows:
+        at = 0
+        for line in t.split("\n"):
+            if line in seen and len(line.split()) >= 4:
+                later += 1
+                assert any(a <= at and b >= at + len(line) for a, b in spans[i]), (i, line)
+            seen.add(line)
+            at += len(line) + 1
+    assert later == 6
+    passages = word_windows(rows, 51)
+    assert len(passages) == 2
+    for i, start, stop in passages:
+        assert any(a < stop and b > start for a, b in spans[i])
+
+
 def test_remove_spans(spark, table):
     spans = substrings.repeated_spans(table)
     by = defaultdict(list)

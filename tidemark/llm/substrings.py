@@ -2,10 +2,11 @@
 
 A unit is a sentence of a line: a line ends at a line feed, a sentence at . ! or ? before a blank, but sentences of a
 line are joined until they have `UNIT_WORDS` words, since shorter ones repeat by chance. (Whole lines and paragraphs
-miss passages pasted into the middle of a line; whole lines that repeat are runs of repeated units, so nothing that
-line hashing finds is lost.) Units are normalised (case folded, white space collapsed) and their digests grouped over
-all documents. The earliest occurrence, by doc_id, text and place, stays. A run of neighbouring units that all occur
-earlier is removed if it has `min_words` words or more, so stock phrases stay where they stand alone.
+miss passages pasted into the middle of a line; whole lines that repeat are runs of repeated units, so of lines of
+`min_words` words or more nothing that line hashing finds is lost.) Units are normalised (case folded, white space
+collapsed) and their digests grouped over all documents. The earliest occurrence, by doc_id, text and place, stays. A
+run of neighbouring units that all occur earlier is removed if it has `min_words` words or more: by default as many as a
+joined unit has, so all that stays are ends of lines with fewer. A passage without a whole unit is not found.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_rows, small_batches, tidy, written
 
-MIN_WORDS, UNIT_WORDS = 20, 4
+MIN_WORDS, UNIT_WORDS = 4, 4
 _BORDER = re.compile(r"(?<=[.!?])[ \t]|(\n)")
 
 
