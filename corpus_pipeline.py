@@ -22,10 +22,11 @@ def least_score(languages: int) -> float:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; null texts, texts without letters and unclear ones go."""
+    """Documents in one of the learned languages. Null texts, texts without letters, unclear ones and, from
+    language.FEW_LETTERS letters on, those that are no nearer to any learned language than noise go."""
     prototypes = language.train(docs)
     rows, back = set_aside(docs, ["lang_pred", "score"])
-    found = language.predict(rows, prototypes, rows.columns)
+    found = language.predict(rows, prototypes, rows.columns, language.noise(), language.train(docs, even=True))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(prototypes)))).select(*back)
 
 

@@ -77,6 +77,20 @@ def test_language(steps):
     assert 0 < len(steps[1]) < len(steps[0])
 
 
+def test_unlearned(spark):
+    """Texts in no learned language go, however their noise is shared out; clean short texts stay."""
+    learned = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").collect()]
+    foreign = [
+        "Быстрая коричневая лиса прыгает через ленивую собаку", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "敏捷的棕色狐狸跳过了懒狗然后跑进了黑暗的森林里面去了", "तेज भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है", "الثعلب البني السريع يقفز فوق الكلب الكسول",
+        "xkcd qwrt zzpfg bvcxz mnbwq lkjhg fdspq wrtzx kkqjx vvbnm",
+    ]
+    # also behind and before texts that are kept, as texts are looked at together
+    short = [" ".join(t.split()[:8]) for _, t, _ in learned[:40] if len(t.split()) >= 8] + ["Von.", "That it."]
+    rows = [(i, t, g) for i, t, g in learned] + [(100_000 + i, t, None) for i, t in enumerate([*short, *foreign, *short])]
+    kept = {r["doc_id"] for r in P.identify(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(2), "unused").collect()}
+    assert {i for i, *_ in rows} - kept == {100_000 + len(short) + i for i in range(len(foreign))}
+
+
 def test_lines(steps):
     given = pairs(steps[1])
     expected = [(i, t) for i, t, n, gone in brute_lines(given, 3) if not gone or gone < n]

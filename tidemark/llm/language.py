@@ -24,6 +24,13 @@ DIMENSIONS = 2048
 #: Languages are a small closed set of labels; training refuses to bring more prototypes than this to the driver.
 MAX_LANGUAGES = 1000
 _PIECE = 1 << 18  # characters looked at together
+#: Fewer letters than this say too little for a floor under the cosine: of learned texts of one or two words (sf0.01) some are no nearer than noise.
+FEW_LETTERS = 16
+
+
+def noise(dimensions: int = DIMENSIONS) -> float:
+    """A cosine that a text sharing no trigram with a language hardly reaches: four deviations of that of two random vectors, 0.088 for 2048 dimensions."""
+    return 4 / dimensions**0.5
 
 
 class Letters:
@@ -100,8 +107,18 @@ def _pieces(texts: list[str]) -> Iterator[list[int]]:
         yield run
 
 
-def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototypes of unit length from all rows of (text, lang); null texts and languages are left out. No rows: no prototypes."""
+def _squares(place: np.ndarray, starts: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places with a trigram, the text of each, sum of the squared trigram counts of each text: its bundle's squared norm over the dimensions, to a few hundredths, as trigrams are nearly orthogonal)."""
+    where = np.flatnonzero(place >= 0)
+    text = np.searchsorted(starts, where, "right") - 1
+    pairs, n = np.unique(text * max(1, distinct) + place[where], return_counts=True)
+    return where, text, np.bincount(pairs // max(1, distinct), n.astype(np.float64) ** 2, len(starts))
+
+
+def train(labelled: DataFrame, dimensions: int = DIMENSIONS, even: bool = False) -> dict[str, np.ndarray]:
+    """Prototypes of unit length from all rows of (text, lang); null texts and languages are left out. No rows: no prototypes.
+
+    even: every text has the same weight, however long, so none drowns its language's others."""
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -114,10 +131,15 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
             for lang, own in pdf.groupby("lang", sort=False):
                 texts = own["text"].tolist()
                 for run in _pieces(texts):
-                    triples, place, _ = trigrams([texts[i] for i in run])
+                    triples, place, starts = trigrams([texts[i] for i in run])
                     if len(triples):
                         parts = held.setdefault(lang, [])
-                        parts.append((_packed(triples), np.bincount(place[place >= 0], minlength=len(triples)).astype(np.float64)))
+                        if even:
+                            where, text, squares = _squares(place, starts, len(triples))
+                            n = np.bincount(place[where], np.rint(2**24 / np.sqrt(squares[text])), len(triples))
+                        else:
+                            n = np.bincount(place[place >= 0], minlength=len(triples)).astype(np.float64)
+                        parts.append((_packed(triples), n))
                         if len(parts) > 16:
                             held[lang] = [merged(parts)]
         letters = Letters(dimensions)
@@ -143,20 +165,22 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], floor: float = 0.0, evenly: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Columns `keep` of docs with lang_pred and score (0 to 1: the best language's share of the positive cosines).
 
-    Null text, text without a letter, or no prototypes: `und` with score 0. Ties go to the first language by name.
+    Null text, text without a letter, or no prototypes: `und` with score 0; so are texts of FEW_LETTERS or more whose
+    best cosine with prototypes and those of `evenly` is below a floor above 0. Ties go to the first language by name.
     Texts are looked at whole. None of `keep` may be called lang_pred or score."""
     small_batches(docs.sparkSession)
     own = fresh(keep, "_text")
     names = sorted(prototypes)
-    weights = np.stack([prototypes[n] for n in names], axis=1).astype(np.float32) if names else None
+    columns = [*[prototypes[n] for n in names], *(evenly or {}).values()]
+    weights = np.stack(columns, axis=1).astype(np.float32) if names else None
     dimensions = len(weights) if names else 0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = Letters(dimensions)
-        known, table = np.zeros(0, np.int64), np.zeros((0, len(names)))
+        known, table = np.zeros(0, np.int64), np.zeros((0, len(columns)))
 
         def looked_up(triples: np.ndarray) -> np.ndarray:
             nonlocal known, table
@@ -177,22 +201,26 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                 triples, place, starts = trigrams([texts[i] for i in run])
                 if not len(triples):
                     continue
-                w = np.concatenate([looked_up(triples), np.zeros((1, len(names)))])
+                w = np.concatenate([looked_up(triples), np.zeros((1, len(columns)))])
                 cells = np.concatenate([place, [-1]])  # a last cell, so that every start is inside
-                sums = np.stack([np.add.reduceat(w[cells, j], starts) for j in range(len(names))], axis=1)
+                sums = np.stack([np.add.reduceat(w[cells, j], starts) for j in range(len(columns))], axis=1)
                 some = np.add.reduceat(cells >= 0, starts) > 0
                 sums = np.where(some[:, None], sums, 0)
+                nearest, sums = sums.max(axis=1), sums[:, : len(names)]
                 top, share = sums.argmax(axis=1), np.clip(sums, 0, None)
                 total = share.sum(axis=1)
+                if floor > 0:
+                    _, text, squares = _squares(place, starts, len(triples))
+                    some &= (np.bincount(text, minlength=len(run)) < FEW_LETTERS) | (nearest >= floor * np.sqrt(dimensions * squares))
                 for at, i in enumerate(run):
                     if some[at]:
                         pred[i] = names[top[at]]
                         best[i] = share[at].max() / total[at] if total[at] > 0 else 0.0
             yield pdf.assign(lang_pred=pred, score=best)
 
-    columns = [F.col(f"`{c}`") for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return docs.select(*columns, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
+    return docs.select(*kept, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:
