@@ -92,6 +92,14 @@ def test_top_hard(spark, monkeypatch):
     assert vectors.op2(vector_table(spark, vector_rows())).count() > 0  # an id that three rows have
 
 
+def test_top_own_rows():
+    """A query's own rows, however many, take no candidate's place in a leaf."""
+    v = np.array([[9.0, 9.0]] * 8 + [[float(i), 1.0] for i in range(8)])
+    ids = np.array([50] * 8 + list(range(8)))
+    found = vectors.BallTree(ids, v).search(np.array([9.0, 9.0]), 50, 5, -np.inf)
+    assert sorted(found, reverse=True) == [(9 * (i + 1), i) for i in (7, 6, 5, 4, 3)]
+
+
 def test_top_few_and_large(spark):
     rows = [(0, [3e9, -3e9]), (50, [1e9, 2e9]), (7, [1.0, 1.0])]
     expected = bag([(q, n, i, s) for q, best in brute_search(rows, 50, 5, lambda a, b: sum(int(math.floor(256 * x)) * int(math.floor(256 * y)) for x, y in zip(a, b, strict=True)), True, True) for n, (s, i) in enumerate(best, 1)])

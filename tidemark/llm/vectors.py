@@ -123,15 +123,14 @@ class BallTree:
                     heapq.heappush(queue, (-upper[kid], kid))
                 continue
             rows = self.rows[node]
+            rows = rows[self.ids[rows] != own_id]
             scores = self.v[rows] @ q
             least = max(bound, best[0][0]) if len(best) == k else bound
             rows, scores = (rows, scores) if np.isneginf(least) else (rows[scores >= least], scores[scores >= least])
-            if len(rows) > k + 1:
-                order = np.lexsort((self.ids[rows], -scores))[: k + 1]
+            if len(rows) > k:
+                order = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[order], scores[order]
             for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                if i == own_id:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
