@@ -334,3 +334,9 @@ def test_language_hard(spark, table):
 @pytest.mark.parametrize("op", [neardup.op1, lines.op4, packing.op5, language.op6, bpe.op8, substrings.op9])
 def test_empty(spark, op):
     assert op(docs(spark, [])).collect() == []
+
+
+def test_stated_chance():
+    """The chance of more than 17 differing places at similarity 0.8 that the docstring states."""
+    tail = sum(math.comb(neardup.PLACES, x) * 0.2**x * 0.8 ** (neardup.PLACES - x) for x in range(neardup.DISTANCE + 1, neardup.PLACES + 1))
+    assert f"{tail:.1e}".replace("e-0", "e-") in neardup.__doc__

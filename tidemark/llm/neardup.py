@@ -4,7 +4,7 @@ A document's set of word shingles becomes a signature of 36 minima, b = 16 bits
 signatures differ in at most 17 places, some chunk differs in at most one (pigeonhole: 9 chunks with 2 errors each
 would be 18). The allowed error is enumerated by leaving out each of a chunk's places in turn, so two such signatures
 share at least one of 36 exact keys: all pairs within distance 17 meet in a bucket, whatever the bucket's size. At a
-similarity of 0.8 a signature differs in 7.2 places on average, and in more than 17 with probability 2e-5; every
+similarity of 0.8 a signature differs in 7.2 places on average, and in more than 17 with probability 5.6e-5; every
 link is confirmed on the full sets.
 
 Equal sets are one class from the start. No pairs of a bucket are written out: a task compares a block of a bucket
