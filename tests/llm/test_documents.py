@@ -93,6 +93,15 @@ def test_near_duplicates_blocks(spark, monkeypatch, shingles, rounds):
     assert len({r[2] for r in found}) < 5
 
 
+def test_equal_components(spark):
+    """Two components of a block tie for the largest: a link between their last classes is found."""
+    both = list(range(100, 200))
+    sets = [list(range(10)), list(range(20, 30)), both, both[:95]]
+    rows = [("f", bytes([i]), b"a" if i % 2 == 0 else b"b", __import__("numpy").array(s, "uint64").tobytes()) for i, s in enumerate(sets)]
+    found = neardup._compared(spark.createDataFrame([(b"f", *r[1:]) for r in rows], "fam binary, cls binary, comp binary, set binary"), 80).collect()
+    assert [{bytes(r["x"]), bytes(r["y"])} for r in found] == [{b"\x02", b"\x03"}]
+
+
 def test_one_of_each(spark, table):
     kept = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(table, 5, 80).collect()]
     expected = [(i, t) for (i, t), r in zip(docs_rows(), brute_components(docs_rows(), 5, 80), strict=True) if r[3]]

@@ -187,7 +187,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
     """(x, y): enough links to join all classes of rows (fam, cls, comp, set) that links join, beyond their comps.
 
-    In a block, each class outside the block's largest component is measured against all others at once: its shingles
+    In a block, each class outside one component, a largest of the block, is measured against all others at once: its shingles
     are marked, and the marks under each set summed."""
     sizes = rows.groupBy("fam").agg((F.ceil(F.sum(F.length("set")) / (8 * SHINGLES))).cast("int").alias("nb"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     parts = written(sizes.where("lo <> hi").select("fam", "nb"), "parts")
@@ -202,8 +202,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
         distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum([0, *sizes])[:-1]
         marks, found = np.zeros(len(distinct), np.int32), []
-        order = np.argsort(counts[comps], kind="stable")
-        for i in order[: len(order) - counts.max()]:
+        for i in np.flatnonzero(comps != counts.argmax()):
             own = flat[starts[i] : starts[i] + sizes[i]]
             marks[own] = 1
             both = np.add.reduceat(marks[flat], starts)
