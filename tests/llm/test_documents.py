@@ -102,6 +102,63 @@ def test_equal_components(spark):
     assert [{bytes(r["x"]), bytes(r["y"])} for r in found] == [{b"\x02", b"\x03"}]
 
 
+def near_copies(n, seed=4):
+    """Copies of one text of 200 words with six words changed at random places."""
+    r = __import__("random").Random(seed)
+    base, out = [f"b{i}" for i in range(200)], []
+    for i in range(n):
+        words = list(base)
+        for at in r.sample(range(200), 6):
+            words[at] = f"x{r.randrange(10**6)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_family_edges(spark, monkeypatch):
+    """A family's edges grow with its classes, not with their square: in all, and from block to block."""
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    counts = {}
+    for n in (300, 600, 1200):
+        rows = neardup.sketch(docs(spark, near_copies(n)), 5).where("cls IS NOT NULL")
+        members = neardup.written(neardup._members(rows.selectExpr("cls", "n_shingles AS n", "sig")), "members")
+        assert members.agg({"nb": "max"}).first()[0] > 1
+        counts[n] = neardup._within(members, 80).distinct().count()
+        assert neardup._families(members, 80).select("fam").distinct().count() == 1
+    assert counts[600] < 2.5 * counts[300] and counts[1200] < 2.5 * counts[600], counts
+
+
+def test_across_blocks(spark, monkeypatch):
+    """Each class outside the largest component meets all others once, in whatever number of blocks."""
+    monkeypatch.setattr(neardup, "ACROSS", 5)
+    r = __import__("numpy").random.default_rng(3)
+    low, far = r.integers(0, 9, (1, 36), "uint16"), r.integers(100, 999, (40, 36), "uint16")
+    sigs = [far[i] for i in range(40)]
+    sigs[7] = sigs[31].copy()
+    sigs[7][:17] = 1
+    sigs[12] = sigs[30].copy()
+    sigs[12][:18] = 1
+    rows = [(5, bytes([i]), b"top" if i < 4 else bytes([i]), 100, s.tobytes()) for i, s in enumerate([low[0], *sigs[1:]])]
+    members = spark.createDataFrame(rows, "key bigint, cls binary, comp binary, n int, sig binary")
+    found = {frozenset((bytes(x["x"])[0], bytes(x["y"])[0])) for x in neardup._across(members, 80).collect()}
+    assert found == {frozenset((7, 31))}
+    dealt = neardup._dealt(members, "key", neardup.F.lit(1), 5).collect()
+    meets = {}
+    for x in dealt:
+        meets.setdefault((x["i"], x["j"]), ([], []))[x["asked"]].append(bytes(x["cls"])[0])
+    pairs = Counter((a, b) for held, asked in meets.values() for a in asked for b in held)
+    assert set(pairs) == {(a, b) for a in range(4, 40) for b in range(40)} and set(pairs.values()) == {1}
+
+
+def test_null_ids(spark):
+    """Documents without an id are told apart by their texts: no join of all with all."""
+    rows = [(None, f"one two three four five {i // 2} six seven") for i in range(60)]
+    found = [tuple(r) for r in neardup.near_duplicates(docs(spark, rows)).collect()]
+    assert bag(found) == bag(brute_components(rows, 5, 80))
+    sketch = neardup.sketch(docs(spark, rows), 5)
+    wanted = sketch.selectExpr("cls", "doc_id", "h").distinct()
+    assert neardup._sets(docs(spark, rows), wanted, 5).count() == 30
+
+
 def test_one_of_each(spark, table):
     kept = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(table, 5, 80).collect()]
     expected = [(i, t) for (i, t), r in zip(docs_rows(), brute_components(docs_rows(), 5, 80), strict=True) if r[3]]

@@ -7,11 +7,15 @@ share at least one of 36 exact keys: all pairs within distance 17 meet in a buck
 similarity of 0.8 a signature differs in 7.2 places on average, and in more than 17 with probability 5.6e-5; every
 link is confirmed on the full sets.
 
-Equal sets are one class from the start. No pairs of a bucket are written out: a task compares a block of a bucket
-and passes on a spanning forest of the pairs within the distance, which has fewer edges than the block has rows. The
-components of all forests are families, outside which no link can lie. Inside a family every two classes that aren't
-linked yet are compared on their full sets, in blocks, and again only a forest of the links goes on. In families of
-more than one block some links are found beforehand, by trying all against one.
+Equal sets are one class from the start. No pairs of a bucket are written out. A bucket is dealt into blocks, each of
+which also gets the bucket's leader, its class of least hash: a class goes to one block of a bucket, and a block passes
+on a spanning forest around the leader, with fewer edges than rows. So a family of n near copies makes some n edges,
+however many blocks it has. Only buckets of several blocks whose classes aren't in one component by then are compared
+across blocks, and there only the classes outside the bucket's largest component, each with all. Components of all
+edges are families: two classes within the distance that share a key are always in one. Inside a family every two
+classes that aren't linked yet are compared on their full sets, dealt in the same way, and again only links between
+different components go on. In families of more than one block some links are found beforehand, by trying all against
+one.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_rows, small_batches, tidy, written
@@ -31,8 +35,9 @@ CHUNKS, WIDTH, DISTANCE = 9, 4, 17
 PLACES = CHUNKS * WIDTH
 #: Tries of all classes of a large family against one of them; they change the cost, not the result.
 ROUNDS = 3
-#: Rows of a bucket compared in one block; shingles of a family's sets in one block; pairs tried in one block.
-BLOCK, SHINGLES, PAIRS = 2000, 500_000, 4000
+#: Rows of a bucket in one block, and when blocks are compared with each other; shingles of a family's sets in one block;
+#: pairs tried in one block.
+BLOCK, ACROSS, SHINGLES, PAIRS = 2000, 16_000, 500_000, 4000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPREAD = np.random.default_rng(36).integers(0, 2**63, (2, PLACES), dtype=np.uint64)
@@ -149,77 +154,131 @@ def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list
     return edges
 
 
-def _blocks(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
-    """rows once for each two blocks (b0 <= b1) of its key that they are in; parts: (key, nb). Any two rows of a key meet in some block."""
-    dealt = rows.join(parts, key).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.withColumn("b0", F.least("blk", "j")).withColumn("b1", F.greatest("blk", "j")).drop("blk", "j", "nb")
-    return dealt.repartition(key, "b0", "b1").sortWithinPartitions(key, "b0", "b1", "cls")
+def _near(sig: np.ndarray, n: np.ndarray, i, j, percent: int) -> np.ndarray:
+    """Whether rows i and j are within the distance and their sizes allow the similarity."""
+    return ((sig[j] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
 
 
-def _families(members: DataFrame, percent: int) -> DataFrame:
-    """(cls, fam): components over all pairs that share a bucket of members (key, cls, n, sig), are within the distance, and whose sizes allow the similarity. Classes without such a pair are left out."""
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of the pairs within the distance in each block of members (key, cls, r, n, sig, nb, low); r is a
+    hash of cls and low the least r of the key."""
+    block = F.when(F.col("r") == F.col("low"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod("r", "nb").cast("int")))
+    dealt = members.select("key", "cls", "r", "n", "sig", F.explode(block).alias("b")).repartition("key", "b").sortWithinPartitions("key", "b", "r", "cls")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole(batches, ["key", "b0", "b1"]):
+        for pdf in _whole(batches, ["key", "b"]):
             sig, n, cls = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, PLACES), pdf["n"].to_numpy(), pdf["cls"].to_numpy()
-
-            def near(i, j):
-                return ((sig[j] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))  # noqa: B023
-
-            starts = _starts(pdf, ["key", "b0", "b1"])
+            starts = _starts(pdf, ["key", "b"])
             sizes = np.diff([*starts, len(pdf)])
             two = starts[sizes == 2]
-            two = two[near(two, two + 1)]  # all buckets of two at once
+            two = two[_near(sig, n, two, two + 1, percent)]  # all buckets of two at once
             left, right = [two], [two + 1]
             for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                if edges := _forest(size, lambda i, rest, at=at: near(np.full(1, at + i), at + rest)):
+                if edges := _forest(size, lambda i, rest, at=at: _near(sig, n, np.full(1, at + i), at + rest, percent)):  # noqa: B023
                     edges = at + np.array(edges)
                     left.append(edges[:, 0])
                     right.append(edges[:, 1])
             left, right = np.concatenate(left), np.concatenate(right)
             yield pd.DataFrame({"a": cls[left], "b": cls[right]}).drop_duplicates()
 
-    edges = _blocks(members, "key", written(parts, "parts")).mapInPandas(tidy(run), "a binary, b binary")
-    return components(edges).withColumnsRenamed({"node": "cls", "label": "fam"})
+    return dealt.mapInPandas(tidy(run), "a binary, b binary")
+
+
+def _dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """rows (key, cls, comp, ...) of the keys with several comps, dealt so that each row outside its key's heaviest comp,
+    `top`, meets every row of the key in some group (key, i, j); sorted by them. No group outweighs `most` by much on
+    either side. A row that is there to be asked about has asked = 1; in a key of one group the rows outside top are
+    asked about and none stands twice."""
+    comps = rows.groupBy(key, "comp").agg(F.sum(weight).alias("w"))
+    parts = comps.groupBy(key).agg(F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda w: F.greatest(F.ceil(w / most), F.lit(1)).cast("int")
+    parts = written(parts.select(key, F.col("top.comp").alias("top"), blocks(F.col("w")).alias("na"), blocks(F.col("w") - F.col("top.w")).alias("no")), "parts")
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    held = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("i"), at("na").alias("j"), F.lit(0).alias("asked")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(at("no").alias("i"), j.alias("j"), F.lit(1).alias("asked")))
+    twice = (F.col("comp") != F.col("top")) & ((F.col("na") > 1) | (F.col("no") > 1))
+    spots = F.when(twice, F.concat(held, asks)).otherwise(held)
+    out = rows.join(parts, key).select(*rows.columns, "top", F.explode(spots).alias("at")).select(*rows.columns, "top", "at.*")
+    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "asked", "cls")
+
+
+def _tied(group: pd.DataFrame, ask: Callable[[int, int], np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """One tie (x, y) for each two comps of a group of _dealt that come together; ask(i, n) says which of the first n
+    rows, those that aren't there to be asked about, row i is tied to."""
+    cls, comps, n = group["cls"].to_numpy(), pd.factorize(group["comp"])[0], int((group["asked"] == 0).sum())
+    asked = np.arange(n, len(group)) if n < len(group) else np.flatnonzero((group["comp"] != group["top"]).to_numpy())
+    found = []
+    for i in asked:
+        if (comps == comps[i]).all():
+            break
+        for j in np.flatnonzero(ask(i, n) & (comps[:n] != comps[i])):
+            if comps[j] != comps[i]:  # one tie for each component that it reaches
+                found.append((cls[i], cls[j]))
+                comps[comps == comps[j]] = comps[i]
+    return found
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y): enough pairs within the distance to join all comps that a key of rows (key, cls, comp, n, sig) joins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "i", "j"]):
+            sig, n = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, PLACES), group["n"].to_numpy()
+            yield pd.DataFrame(_tied(group, lambda i, m: _near(sig, n, np.full(1, i), np.arange(m), percent)), columns=["x", "y"])  # noqa: B023
+
+    return _dealt(rows, "key", F.lit(1), ACROSS).mapInPandas(tidy(run), "x binary, y binary")
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (cls, comp, ...) with comps that the pairs (x, y) of found tie made one."""
+    name = lambda a, b: labels.select(F.col("cls").alias(a), F.col("comp").alias(b))
+    edges = found.join(name("x", "a"), "x").join(name("y", "b"), "y").where("a <> b").select("a", "b")
+    new = components(edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
+    return written(labels.join(new, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*labels.columns), "own")
+
+
+def _families(members: DataFrame, percent: int) -> DataFrame:
+    """(cls, fam): components over all pairs that share a bucket of members and are within the distance, and whose sizes
+    allow the similarity. Classes without such a pair are left out."""
+    labels = components(_within(members, percent)).withColumnsRenamed({"node": "cls", "label": "comp"})
+    large = members.where("nb > 1").select("key", "cls", "n", "sig")
+    if not large.isEmpty():
+        # a class without a pair so far may have one in another block
+        labels = written(labels.union(large.select("cls", F.col("cls").alias("comp")).distinct().join(labels, "cls", "left_anti")), "labels")
+        found = written(_across(large.join(labels, "cls"), percent), "found")
+        if not found.isEmpty():
+            labels = _joined(labels, found)
+    return labels.withColumnRenamed("comp", "fam")
 
 
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
     """(x, y): enough links to join all classes of rows (fam, cls, comp, set) that links join, beyond their comps.
 
-    In a block, each class outside one component, a largest of the block, is measured against all others at once: its shingles
-    are marked, and the marks under each set summed."""
-    sizes = rows.groupBy("fam").agg((F.ceil(F.sum(F.length("set")) / (8 * SHINGLES))).cast("int").alias("nb"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    parts = written(sizes.where("lo <> hi").select("fam", "nb"), "parts")
+    In a group, each class that is asked about is measured against all others at once: its shingles are marked, and the
+    marks under each set summed."""
 
     def links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         sets = [np.frombuffer(s, np.uint64) for s in group["set"]]
-        sizes, cls = np.array([len(s) for s in sets]), group["cls"].to_numpy()
-        comps = pd.factorize(group["comp"])[0]
-        counts = np.bincount(comps)
-        if len(counts) == 1:
-            return []
+        sizes = np.array([len(s) for s in sets])
         distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum([0, *sizes])[:-1]
-        marks, found = np.zeros(len(distinct), np.int32), []
-        for i in np.flatnonzero(comps != counts.argmax()):
-            own = flat[starts[i] : starts[i] + sizes[i]]
+        marks = np.zeros(len(distinct), np.int32)
+
+        def ask(i: int, n: int) -> np.ndarray:
+            own, end = flat[starts[i] : starts[i] + sizes[i]], starts[n - 1] + sizes[n - 1]
             marks[own] = 1
-            both = np.add.reduceat(marks[flat], starts)
+            both = np.add.reduceat(marks[flat[:end]], starts[:n])
             marks[own] = 0
-            linked = (100 * both >= percent * (sizes + sizes[i] - both)) & (comps != comps[i])
-            for j in np.flatnonzero(linked):
-                if comps[j] != comps[i]:  # one link for each component that it reaches
-                    found.append((cls[i], cls[j]))
-                    comps[comps == comps[j]] = comps[i]
-        return found
+            return 100 * both >= percent * (sizes[:n] + sizes[i] - both)
+
+        return _tied(group, ask)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["fam", "b0", "b1"]):
-            if found := links(group):
-                yield pd.DataFrame(found, columns=["x", "y"])
+        for group in _groups(batches, ["fam", "i", "j"]):
+            if (group["asked"] == 0).any():
+                yield pd.DataFrame(links(group), columns=["x", "y"])
 
-    return _blocks(rows, "fam", parts).mapInPandas(tidy(run), "x binary, y binary")
+    return _dealt(rows, "fam", F.length("set"), 8 * SHINGLES).mapInPandas(tidy(run), "x binary, y binary")
 
 
 def _starts(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
@@ -295,13 +354,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = written(sketch(docs, k), "sketch")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+    )
     classes = written(classes, "classes")
-    keyed = _keyed(classes)
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
-    members = written(keyed.join(shared, "key").join(classes.select("cls", "n", "sig"), "cls"), "members")
+    members = written(_members(classes), "members")
     families = _families(members, percent)
-    labels = _linked(families, _sets(docs, classes.join(families, "cls", "left_semi").select("cls", "low"), k), percent)
+    labels = _linked(families, _sets(docs, classes.join(families, "cls", "left_semi").select("cls", "one.*"), k), percent)
     joined = classes.select("cls", "low").join(labels, "cls", "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = written(joined.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
     ids = written(joined.select("cls", "comp").join(lows, "comp").select("cls", "component_id"), "ids")
@@ -311,9 +370,21 @@ def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """key, cls, r (hash of cls), n, sig of each class in each of its buckets of two or more, with nb (blocks of the
+    bucket, a power of two: blocks of two buckets are equal or inside each other) and low (least r of the bucket)."""
+    keyed = _keyed(classes).withColumn("r", F.xxhash64("cls"))
+    nb = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("m") / BLOCK)), F.lit(0))).cast("int")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("r").alias("low")).where("m > 1").select("key", nb.alias("nb"), "low")
+    return keyed.join(written(shared, "shared"), "key").join(classes.select("cls", "n", "sig"), "cls")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, set) of the wanted (cls, low) classes, from the text of their first document."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted.withColumnRenamed("low", "w_low").hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_low"))).select("cls", "text")
+    """(cls, set) of the wanted (cls, doc_id, h) classes, from the text of one document each: by id and text, as many may
+    have no id or share one."""
+    wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "h": "w_h"}).hint("merge")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("cls", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -330,12 +401,6 @@ def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(cls, comp) of the classes of all families: comp is the least class that links reach."""
     labels = written(families.select("fam", "cls", F.col("cls").alias("comp")), "own")
 
-    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-        name = lambda a, b: labels.select(F.col("cls").alias(a), F.col("comp").alias(b))
-        edges = found.join(name("x", "a"), "x").join(name("y", "b"), "y").where("a <> b").select("a", "b")
-        new = components(edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
-        return written(labels.join(new, "comp", "left").select("fam", "cls", F.coalesce("to", "comp").alias("comp")), "own")
-
     large = sets.join(labels, "cls").groupBy("fam").agg(F.sum(F.length("set")).alias("bytes")).where(F.col("bytes") > 8 * SHINGLES).select("fam")
     large = written(large, "large")
     for salt in range(ROUNDS if not large.isEmpty() else 0):
@@ -345,9 +410,9 @@ def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = written(rows.join(ones, "fam").where("comp <> its").select(F.col("cls").alias("x"), "y"), "pairs")
         found = written(_tried(pairs, sets, percent), "found")
         if not found.isEmpty():
-            labels = joined(labels, found)
+            labels = _joined(labels, found)
     found = written(_compared(labels.join(sets, "cls"), percent), "found")
-    return (labels if found.isEmpty() else joined(labels, found)).select("cls", "comp")
+    return (labels if found.isEmpty() else _joined(labels, found)).select("cls", "comp")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
