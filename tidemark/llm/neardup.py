@@ -237,14 +237,23 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return written(labels.join(new, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*labels.columns), "own")
 
 
+def _with_all(labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """labels (cls, comp), and the classes that it lacks as comps of their own."""
+    return written(labels.union(classes.select("cls").distinct().join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("comp"))), "labels")
+
+
 def _families(members: DataFrame, percent: int) -> DataFrame:
     """(cls, fam): components over all pairs that share a bucket of members and are within the distance, and whose sizes
     allow the similarity. Classes without such a pair are left out."""
-    labels = components(_within(members, percent)).withColumnsRenamed({"node": "cls", "label": "comp"})
+    edges = written(_within(members, percent).distinct(), "edges")
+    # first one edge a class, to its least parent; then what other edges join of the few components that this leaves
+    labels = components(edges.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a"))).withColumnsRenamed({"node": "cls", "label": "comp"})
+    labels = _with_all(labels, edges.select(F.col("a").alias("cls")))
+    labels = _joined(labels, edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
     large = members.where("nb > 1").select("key", "cls", "n", "sig")
     if not large.isEmpty():
         # a class without a pair so far may have one in another block
-        labels = written(labels.union(large.select("cls", F.col("cls").alias("comp")).distinct().join(labels, "cls", "left_anti")), "labels")
+        labels = _with_all(labels, large)
         found = written(_across(large.join(labels, "cls"), percent), "found")
         if not found.isEmpty():
             labels = _joined(labels, found)
