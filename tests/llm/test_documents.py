@@ -309,6 +309,17 @@ def test_codec(library):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def every_code_point():
+    return ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def test_codec_all_code_points(library):
+    codec, texts = bpe.Codec(bpe.default_path()), every_code_point()
+    for at in range(0, len(texts), 100_000):
+        part = texts[at : at + 100_000]
+        assert [t for t, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True) if codec.encode(t) != e.ids] == []
+
+
 def test_bpe(spark, library, real):
     rows = docs_rows() + [(600 + i, t) for i, t in enumerate(HARD)] + [(1000 + i, t) for i, t, _ in real]
     expected = []
@@ -318,6 +329,86 @@ def test_bpe(spark, library, real):
     assert bag([tuple(r) for r in bpe.op8(docs(spark, rows)).collect()]) == bag(expected)
 
 
+def random_texts(n, seed=1):
+    """Texts of letters, capitals, combining marks, special tokens and rare code points."""
+    r = __import__("random").Random(seed)
+    letters = [chr(c) for c in range(32, 0x250)] + [chr(c) for c in range(0x370, 0x530)] + 3 * [chr(c) for c in range(0x300, 0x370)]
+    letters += [*"ΣσςİıßẞﬁǅÅKΩ \n\t.,<|", "<|endoftext|>"] + [chr(r.randrange(0x250, 0xD800)) for _ in range(500)] + [chr(r.randrange(0x10000, 0x20000)) for _ in range(300)]
+    return ["".join(r.choices(letters, k=r.randint(1, 40))) for _ in range(n)]
+
+
+def test_encoder(library):
+    """Packing's ids are the library's: capitals with combining marks, random texts, every code point."""
+    upper = [chr(c) for c in [*range(0x41, 0x250), *range(0x370, 0x530), *range(0x1F00, 0x2000)] if chr(c).lower() != chr(c)]
+    marked = [f"x{c}{chr(m)} {c}{chr(m)}" for c in upper for m in [*range(0x300, 0x330), 0x331, 0x345]]
+    assert {"H\u0331", "T\u0308", "J\u030c", "W\u030a", "\u03aa\u0301"} & {t.split(" ")[1] for t in marked}
+    encoder = packing.Encoder(bpe.default_path())
+    for texts in (marked, random_texts(10_000), every_code_point()[::7]):
+        found = dict(encoder(__import__("pandas").Series(texts)))
+        for i, e in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)):
+            assert found[i] == b"".join(x.to_bytes(4, "little") for x in e.ids), texts[i]
+
+
+def fewest(pieces, size):
+    """The fewest sequences, by trying all sets that fit beside the longest piece."""
+    from functools import cache
+    from itertools import combinations
+
+    @cache
+    def go(rest):
+        if not rest:
+            return 0
+        x, others = rest[0], rest[1:]
+        chosen = [c for k in range(len(others) + 1) for c in combinations(range(len(others)), k) if x + sum(others[i] for i in c) <= size]
+        return 1 + min(go(tuple(o for i, o in enumerate(others) if i not in c)) for c in chosen)
+
+    return go(tuple(sorted(pieces, reverse=True)))
+
+
+def test_plan_small():
+    """Small stocks are packed in as few sequences as can be."""
+    r = __import__("random").Random(6)
+    for _ in range(250):
+        size = r.choice([7, 10, 12, 20])
+        pieces = [r.randint(1, size) for _ in range(r.randint(1, 8))]
+        assert sum(times for _, times in packing.plan(Counter(pieces), size)) == fewest(pieces, size), (size, pieces)
+
+
+def brute_complements(stock, size):
+    """Lengths of the sequences that single, pair and triple complements fill, found by trying all combinations."""
+    from itertools import combinations_with_replacement
+
+    left, out = Counter(stock), []
+    for x in range(size, 0, -1):
+        while left[x]:
+            gap, found = size - x, None
+            for k in range(1, 4) if gap else ():
+                all_ = [c[::-1] for c in combinations_with_replacement(sorted(y for y in left if left[y]), k) if sum(c) == gap and not Counter((x, *c)) - left]
+                if all_:
+                    found = max(all_)
+                    break
+            if gap and not found:
+                break
+            out.append((x, *(found or ())))
+            left -= Counter(out[-1])
+        left[x] = 0
+    return Counter(out)
+
+
+def test_complements():
+    """The index gives the same combinations as a search of all, as long as the stock of each lasts."""
+    r = __import__("random").Random(9)
+    for _ in range(150):
+        size = r.choice([9, 15, 24])
+        stock = Counter(r.randint(1, size) for _ in range(r.randint(1, 40)))
+        made = Counter()
+        for lengths, times in packing.exact(stock, size, 3):
+            if sum(lengths) == size:
+                made[lengths] += times
+        missing = brute_complements(stock, size) - made
+        assert not missing, (size, stock)
+
+
 def brute_pieces(rows, library, size=2048):
     out = []
     for i, t in rows:

@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most `size`; only longer ones are cut. The plan is made on the histogram of piece
 lengths, which has at most `size` entries whatever the corpus: for the longest length in stock, sums of one, two and
-three lengths in stock that exactly fill its gap are looked up, and a combination is used as many times as the stock
-allows; what has no exact complement is placed best-fit. The plan is a bounded list of (lengths, times). Pieces of one
+three lengths in stock that exactly fill its gap are looked up in an index that is made once and follows the stock, and
+a combination is used as many times as the stock allows; what has no exact complement is placed best-fit. The plan is a bounded list of (lengths, times). Pieces of one
 length are numbered without gathering them (counts per length and salt, then places inside each), and a piece's number
 finds its sequence and offset in the plan.
 """
@@ -11,6 +11,7 @@ finds its sequence and offset in the plan.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,13 @@ SALT_ROWS = 10_000
 
 
 def _lowered(text: str) -> str:
-    """The text in lower case, as the tokenizer has it letter by letter, unless a letter or a special token could come out differently."""
-    return text if "<" in text or "Σ" in text or "İ" in text else text.lower()
+    """The text in lower case, as the tokenizer has it letter by letter, unless a letter or a special token could come out
+    differently. The tokenizer composes letters and marks before it lowers them, and not all capitals have the composed
+    forms of their small letters: a text that composing changes, before or after, stays as it is."""
+    if "<" in text or "Σ" in text or "İ" in text:
+        return text
+    low = text.lower()
+    return low if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
 
 
 class Encoder:
@@ -134,10 +140,66 @@ Plan = list[tuple[tuple[int, ...], int]]
 def plan(stock: dict[int, int], size: int = SIZE) -> Plan:
     """(lengths in order, times) of sequences that together use up the stock of lengths: the fewest that come of exact
     complements of up to three, two or one lengths."""
-    return min((exact(stock, size, most) for most in (3, 2, 1)), key=lambda made: sum(times for _, times in made))
-
-
-def exact(stock: dict[int, int], size: int, most: int) -> Plan:
+    sums = pair_sums([x for x, n in stock.items() if n], size)
+    return min((exact(stock, size, most, sums) for most in (3, 2, 1)), key=lambda made: sum(times for _, times in made))
+
+
+def pair_sums(lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(longer ones, starts): the pairs of lengths of sum s have the longer lengths longer[starts[s] : starts[s + 1]],
+    greatest first. At most size**2 / 4 pairs."""
+    have = np.array(sorted(lengths), np.int64)
+    a, b = np.nonzero(have[:, None] + have[None, :] < size)
+    a, b = have[a[a >= b]], have[b[a >= b]]
+    order = np.lexsort((-a, a + b))
+    return a[order].astype(np.int32), np.searchsorted((a + b)[order], np.arange(size + 1))
+
+
+class Complements:
+    """What fills a gap exactly: a hash table from sums to combinations of one, two or three lengths in stock.
+
+    A single is the stock itself, pairs are listed by sum, and a triple is a first length and a pair of the remaining sum.
+    The lists are made once: stock only runs out, so an entry whose lengths don't suffice any more never comes back, and
+    each sum's place in its list only moves on."""
+
+    def __init__(self, left: np.ndarray, size: int, most: int, sums: tuple[np.ndarray, np.ndarray]):
+        self.left, self.size, self.most = left, size, most
+        self.longer, self.starts = sums
+        self.at = self.starts[:-1].tolist()
+        self.end = self.starts[1:].tolist()
+        self.first: dict[int, int] = {}
+
+    def _pair(self, total: int, *held: int) -> tuple[int, int] | None:
+        """The pair in stock of this sum with the longest length, beside the held lengths."""
+        left, head = self.left, True
+        for k in range(self.at[total], self.end[total]):
+            a = int(self.longer[k])
+            b = total - a
+            if left[a] > (a == b) and left[b] > 0:
+                if left[a] > (a == b) + held.count(a) and left[b] > (a == b) + held.count(b):
+                    return a, b
+                head = False  # only the held ones stand against it
+            elif head:
+                self.at[total] = k + 1
+        return None
+
+    def find(self, x: int) -> tuple[int, ...] | None:
+        """One, two or three lengths in stock that fill x up to the size, next to one x itself; x is the longest in stock."""
+        gap = self.size - x
+        if gap <= x and self.left[gap] > (gap == x):
+            return (gap,)
+        if self.most > 1 and (found := self._pair(gap, x)):
+            return found
+        if self.most > 2:
+            # while x is the longest, a first length that fits no pair once fits none later
+            for a in range(self.first.get(x, min(gap - 2, x)), (gap - 1) // 3, -1):
+                self.first[x] = a
+                if self.left[a] > (a == x) and (found := self._pair(gap - a, x, a)):
+                    return (a, *found)
+            self.first[x] = 0
+        return None
+
+
+def exact(stock: dict[int, int], size: int, most: int, sums: tuple[np.ndarray, np.ndarray] | None = None) -> Plan:
     """Exact complements of up to `most` lengths for the longest first, then best fit."""
     left = np.zeros(size + 1, np.int64)
     for length, n in stock.items():
@@ -151,39 +213,13 @@ def exact(stock: dict[int, int], size: int, most: int) -> Plan:
             left[x] -= n * times
         out.append((lengths, times))
 
-    def pair(total: int, longest: int) -> tuple[int, int] | None:
-        """Two lengths in stock of this sum, none over `longest`; the longest first one. One whole row of the pair index at once."""
-        a = np.arange(min(longest, total - 1), (total - 1) // 2, -1)
-        b = total - a
-        hit = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1))
-        return (int(a[i]), int(b[i])) if len(a) and hit[i := int(hit.argmax())] else None
-
-    def complement(x: int) -> tuple[int, ...] | None:
-        """One, two or three lengths in stock that fill x up to size exactly, next to one x itself."""
-        gap = size - x
-        left[x] -= 1
-        try:
-            if gap <= x and left[gap] > 0:
-                return (gap,)
-            if most > 1 and (found := pair(gap, min(gap - 1, x))):
-                return found
-            for a in range(min(gap - 2, x), (gap - 1) // 3, -1) if most > 2 else ():
-                if left[a] > 0:
-                    left[a] -= 1
-                    found = pair(gap - a, min(a, gap - a - 1))
-                    left[a] += 1
-                    if found:
-                        return (a, *found)
-            return None
-        finally:
-            left[x] += 1
-
     if left[size]:
         use((size,))
+    complements = Complements(left, size, most, sums or pair_sums(np.flatnonzero(left).tolist(), size))
     rest: dict[int, int] = {}
     for x in range(size - 1, 0, -1):
         while left[x]:
-            if size == 1 or (found := complement(x)) is None:
+            if (found := complements.find(x)) is None:
                 rest[x], left[x] = int(left[x]), 0
             else:
                 use((x, *found))
@@ -288,5 +324,8 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op5(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """All pieces of all documents with their place. An empty table gives no rows; repeated rows are packed each."""
+    """All pieces of all documents with their place. An empty table gives no rows; null and empty texts are one piece of the
+    end id; a text longer than `size` is cut and each full piece has a sequence of its own; repeated rows are packed each;
+    equal lengths are numbered by doc_id (null first), piece, start and digest, and rows equal in all of them in any order.
+    Other columns of docs play no part."""
     return pack(written(pieces(docs, path, size), "pieces"), size)
