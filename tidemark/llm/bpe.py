@@ -58,6 +58,7 @@ class Codec:
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.letters = byte_letters()
         self.words = regex.compile(WORDS)
+        self.path, self._library = path, None
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def word(self, word: str) -> list[int]:
@@ -83,7 +84,19 @@ class Codec:
                 heapq.heappush(queue, (r, h, symbols[h], symbols[i]))
         return [self.vocab[s] for s in symbols if s is not None and s in self.vocab]
 
+    def _newer(self, text: str) -> list[int]:
+        """Ids of a text with code points that this Python's Unicode has no class for: the library's own tables compose,
+        lower and part it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [i for word, _ in words for i in self.word(word)]
+
     def _plain(self, text: str) -> list[int]:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            return self._newer(text)
         text = unicodedata.normalize("NFC", text)
         text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
         letters, out = self.letters, []
@@ -137,7 +150,9 @@ def _both(path: str) -> Remembered:
 
 
 def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null text is empty: no ids, nothing decoded."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null text is empty: no ids, nothing decoded. A text
+    is encoded chunk by chunk, whole however long; one row for each row, repeated ones and null ids too; an empty table
+    gives no rows. Nothing depends on other rows or columns, so there are no ties."""
     path = path or default_path()
     small_batches(docs.sparkSession)
 
