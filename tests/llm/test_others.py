@@ -181,6 +181,35 @@ def test_chat_hard(spark):
     assert chat.op10(table.limit(0)).count() == 1
 
 
+def by_hand(turns):
+    """Length of the formatted string: marks around roles and texts, two characters more for each control string or
+    backslash, counted without the module's own code."""
+    n = 0
+    for role, text in turns:
+        n += len("<s>[INST][/INST]</s>")
+        for x in (role, text):
+            n += len(x) + x.count("\\")
+            starts = {i for c in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>", "<|") for i in range(len(x)) if x.startswith(c, i)}
+            n += 2 * len(starts)
+    return n
+
+
+def test_formatted_chars():
+    r = random.Random(2)
+    for _ in range(300):
+        turns = [("".join(r.choices(["user", "<s>", ""], k=1)), "".join(r.choices(["a", "\\", "<", "s>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "|", "é\n"], k=r.randint(0, 9)))) for _ in range(r.randint(0, 4))]
+        assert len(chat.formatted(turns)[0]) == by_hand(turns)
+
+
+def test_real_minus_one(spark):
+    """A conversation -1 of the table and one without an id stay apart from the added one; large ids stay exact."""
+    rows = [(-1, 0, "user", "mine"), (None, 0, "user", "q"), (2**62 + 1, 0, "assistant", "big"), (2**62 + 1, 1, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    found = [tuple(x) for x in chat.op10(table).collect()]
+    expected = expected_digests(rows) + expected_digests(EXTRA)
+    assert bag(found) == bag(expected) and sorted(x[1] for x in found if x[0] == -1) == [1, 2]
+
+
 def test_trees(spark):
     r = random.Random(8)
     nodes, up, score = [], {}, {}
