@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, tidy
+from tidemark.llm.common import tidy
 
 TOKENIZER = "word_bpe_49k.json"
 #: White space as the tokenizer's patterns know it, and the pattern of its words.
@@ -154,7 +154,6 @@ def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
     is encoded chunk by chunk, whole however long; one row for each row, repeated ones and null ids too; an empty table
     gives no rows. Nothing depends on other rows or columns, so there are no ties."""
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         remembered = _both(path)

@@ -33,13 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what goes to a Python worker at once, for this session: a worker holds a few MB of texts however long the
-    rows are. Smaller settings of the session's own stay."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what goes to a Python worker at once, for what is run inside the context: a worker holds a few MB of texts
+    however long the rows are. Smaller settings of the session's own stay, and all are as before at the end. What an
+    operator returns unrun comes in the session's own batches; the functions cut those into runs of bounded length."""
+    before = {}
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        before[key] = spark.conf.get(key)
+        now = int(re.match(r"-?\d+", before[key])[0])
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def tidy(run: Callable) -> Callable:

@@ -150,10 +150,10 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, even: bool = False)
                 total += counts[part] @ vectors.astype(np.float64)  # whole numbers below 2**53: exact in any order
             yield pd.DataFrame({"lang": lang, "place": np.arange(dimensions, dtype=np.int32), "value": total.astype(np.int64)})
 
-    small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sums = rows.mapInPandas(tidy(bundle), "lang string, place int, value bigint").groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    cells = sums.limit(MAX_LANGUAGES * dimensions + 1).toPandas()
+    with small_batches(labelled.sparkSession):
+        cells = sums.limit(MAX_LANGUAGES * dimensions + 1).toPandas()
     if len(cells) > MAX_LANGUAGES * dimensions:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = {}
@@ -171,7 +171,6 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     Null text, text without a letter, or no prototypes: `und` with score 0; so are texts of FEW_LETTERS or more whose
     best cosine with prototypes and those of `evenly` is below a floor above 0. Ties go to the first language by name.
     Texts are looked at whole. None of `keep` may be called lang_pred or score."""
-    small_batches(docs.sparkSession)
     own = fresh(keep, "_text")
     names = sorted(prototypes)
     columns = [*[prototypes[n] for n in names], *(evenly or {}).values()]
@@ -229,6 +228,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned only from the folds that aren't held out."""
+    """doc_id, held_out, lang_pred, score of every row; learned only from the folds that aren't held out.
+
+    Null text and text without a letter are `und` with score 0, as is everything where nothing is labelled; texts are
+    looked at whole, however long; of equal scores the first language by name is predicted. Repeated rows are rows of their own, in
+    learning too, and null ids are in fold 0. An empty table gives no rows."""
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id")) == 1)
     return predict(rows, train(rows.where("NOT held_out")), ["doc_id", "held_out"])

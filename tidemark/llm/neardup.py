@@ -361,8 +361,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-    rows = written(sketch(docs, k), "sketch")
+    with small_batches(docs.sparkSession):
+        rows = written(sketch(docs, k), "sketch")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
@@ -403,7 +403,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 out = [(c, s.tobytes()) for c, s in zip(cls[part], shingle_sets(texts[part], k, words), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
                 yield pd.DataFrame(out, columns=["cls", "set"])
 
-    return written(texts.mapInPandas(tidy(run), "cls binary, set binary").dropDuplicates(["cls"]), "sets")
+    with small_batches(docs.sparkSession):
+        return written(texts.mapInPandas(tidy(run), "cls binary, set binary").dropDuplicates(["cls"]), "sets")
 
 
 def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

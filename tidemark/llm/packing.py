@@ -114,7 +114,6 @@ def _encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece. Null text is empty: one piece with the end id alone."""
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
@@ -328,4 +327,6 @@ def op5(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame
     end id; a text longer than `size` is cut and each full piece has a sequence of its own; repeated rows are packed each;
     equal lengths are numbered by doc_id (null first), piece, start and digest, and rows equal in all of them in any order.
     Other columns of docs play no part."""
-    return pack(written(pieces(docs, path, size), "pieces"), size)
+    with small_batches(docs.sparkSession):
+        parts = written(pieces(docs, path, size), "pieces")
+    return pack(parts, size)
