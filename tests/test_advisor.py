@@ -1,8 +1,8 @@
 import pytest
 
 from tidemark.operators.predicates import Atom, Between
-from tidemark.plans.advisor import Advisor, Costs, Edge, explain, grouped, rows, selectivity
-from tidemark.sources.catalog import Catalog, Column, Table
+from tidemark.plans.advisor import Advisor, Costs, Edge, PageCosts, explain, grouped, rows, selectivity
+from tidemark.sources.catalog import Catalog, Column, Index, Table
 
 
 @pytest.fixture
@@ -52,3 +52,27 @@ def test_parts_without_edges(catalog):
 
 def test_explain(spark):
     assert "sizeInBytes" in explain(spark.range(5).selectExpr("id + 1 AS x"))
+
+
+@pytest.mark.parametrize("n, cost", [(120515, 24800), (115694, 24000), (96412, 20840), (78334, 17880), (62667, 15280), (43385, 12120)])
+def test_published_index_costs(n, cost):
+    assert PageCosts().index(Table("lineitem", [], 120515, 1), Index("l_part", "lineitem", "l_partkey", leaves=494), n) == cost
+
+
+@pytest.mark.parametrize("n, width, cost", [(15360, 32, 33320), (5760, 24, 12552), (12640, 16, 16328)])
+def test_published_sort_costs(n, width, cost):
+    assert PageCosts().sort(n, width) == cost
+
+
+@pytest.mark.parametrize(
+    "pages, n, in_order, cost",
+    [(251, 3000, True, 170500), (251, 1709, True, 170500), (251, 1290, True, 174051), (251, 2400, False, 4158343), (251, 1560, False, 2988487), (251, 930, False, 1986012),
+     (1148, 10560, True, 766196), (1148, 6400, True, 781812), (1148, 7840, True, 770112), (1148, 12640, False, 21226959), (1148, 8800, False, 15912144), (2, 12, True, 2852), (2, 13, False, 28495), (2, 10, False, 24832)],
+)
+def test_published_fetch_costs(pages, n, in_order, cost):
+    assert PageCosts().fetch(Table("t", [], 10**6, pages), n, in_order) == cost
+
+
+@pytest.mark.parametrize("pages, cost", [(1, 5040), (2, 5080), (15, 5600), (271, 15840), (1148, 50920), (1473, 63920)])
+def test_published_scan_costs(pages, cost):
+    assert PageCosts().scan(Table("t", [], 1, pages)) == cost and PageCosts().nested_loop(2440, 780) == 1903200

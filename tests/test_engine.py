@@ -8,10 +8,11 @@ from tidemark.console import show
 from tidemark.functions.types import no_nan, parse_field, render_field, spark_type, time_instant
 from tidemark.operators import relational as R
 from tidemark.operators.bulk import BulkGroupBy, BulkScan, CountTuples, ForwardLeft, MapReduce, TableInput, from_spec, materialise
-from tidemark.operators.dml import UniqueViolation, VersionedTable
+from tidemark.operators.dml import LostUpdate, UniqueViolation, VersionedTable
 from tidemark.operators.predicates import Atom, Between, JoinAtom, Junction, from_json, merge_ranges, to_json
 from tidemark.plans import sql as S
 from tidemark.plans.sql import Code, ParseError, parse
+from tidemark.queries import QUERIES
 from tidemark.sources.catalog import Catalog, Column, Index, Table, analyse, register, unique_violations
 from tidemark.sources.tables import table, write_table
 from tidemark.streaming.files import running_group_by, stream_table
@@ -77,6 +78,56 @@ def test_statements(spark, tmp_path):
         S.query(spark, "DELETE FROM t")
 
 
+def test_append_and_versions(spark, tmp_path):
+    """INSERT leaves the files that are there alone, DELETE those without a row to go; old versions can be cleaned up."""
+    path = tmp_path / "t"
+    t = VersionedTable(spark, str(path))
+    t.replace(spark.range(100).selectExpr("id AS k", "id % 3 AS g"))
+    before = {f: f.stat().st_mtime_ns for f in (path / "data").rglob("*.parquet")}
+    assert t.insert(spark.range(100, 110).selectExpr("id AS k", "9L AS g")) == 10
+    assert len(list((path / "data").iterdir())) == 2 and all(f.stat().st_mtime_ns == m for f, m in before.items())
+    assert t.delete(F.col("k") >= 105) == 5 and t.delete(F.col("k") > 500) == 0
+    assert len(list((path / "data").iterdir())) == 3 and len(list((path / "log").glob("[0-9]*.json"))) == 3
+    assert t.read().count() == 105
+    assert t.vacuum() == 1 and t.read().count() == 105 and len(list((path / "log").glob("[0-9]*.json"))) == 1
+    assert t.update({"g": F.lit(7)}, F.col("k") < 0) == 0 and t.update({"g": F.lit(7)}, F.col("k") < 2) == 2
+    t.truncate()
+    assert t.read().schema.simpleString() == "struct<k:bigint,g:bigint>" and t.read().count() == 0
+    t.drop()
+    assert not path.exists()
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two changes to one version the second is refused; two inserts both stay, unless they repeat a key."""
+    a = VersionedTable(spark, str(tmp_path / "t"), unique=("k",))
+    a.replace(spark.range(10).selectExpr("id AS k"))
+    b = VersionedTable(spark, str(tmp_path / "t"), unique=("k",))
+    seen = a._latest()
+    b.insert(spark.range(20, 22).selectExpr("id AS k"))
+    a._latest = lambda: seen  # a has read before b wrote
+    with pytest.raises(LostUpdate):
+        a.delete(F.col("k") < 5)
+    assert b.read().count() == 12
+
+    def late(rows, after):
+        """a's insert, with b's in between its reading and its commit."""
+        answers = iter([seen_now := b._latest(), seen_now])
+
+        def latest():
+            out = next(answers, None)
+            return out if out else VersionedTable._latest(a)
+
+        a._latest = latest
+        b.insert(after)
+        return a.insert(rows)
+
+    assert late(spark.range(30, 33).selectExpr("id AS k"), spark.range(40, 41).selectExpr("id AS k")) == 3
+    assert b.read().count() == 16
+    with pytest.raises(UniqueViolation):
+        late(spark.range(50, 52).selectExpr("id AS k"), spark.range(51, 52).selectExpr("id AS k"))
+    assert sorted(r[0] for r in b.read().collect()) == [*range(10), 20, 21, 30, 31, 32, 40, 51]
+
+
 # ---- predicates and plans
 
 
@@ -173,3 +224,33 @@ def test_sinks_and_streams(spark, tmp_path, capsys):
     assert "NULL" in out and out.rstrip().endswith("2 rows returned.")
     running_group_by(stream_table(spark, path), ["k"], [("count", "*", "n"), ("sum", "id", "s")], "totals", str(tmp_path / "cp")).awaitTermination()
     assert sorted(rows(spark.table("totals"))) == [(0, 3, 6), (1, 2, 4)]
+    own = str(tmp_path / "own")
+    running_group_by(stream_table(spark, path), ["k"], [("count", "*", "n")], "more", str(tmp_path / "cp2"), lambda df, n: df.write.mode("overwrite").parquet(f"{own}/{n}")).awaitTermination()
+    assert sorted(rows(spark.read.parquet(f"{own}/0"))) == [(0, 3), (1, 2)]
+
+
+def test_order(spark):
+    """Sorted queries come in order, NULLs lowest, over several partitions."""
+    df = spark.range(5000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE (id * 37) % 101 END AS a", "(id * 91) % 997 AS b").repartition(6)
+    found = rows(R.sort(df, ("a", True), ("b", False)))
+    assert found == sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, -r[1]))
+    q = QUERIES["join_order_by"](spark, SF).collect()
+    assert len(q) > 1 and [(r["s_name"], -r["p_partkey"]) for r in q] == sorted((r["s_name"], -r["p_partkey"]) for r in q)
+    q = [(r["segment"], r["nation"]) for r in QUERIES["flagship"](spark, "/root/testdata/sf0.01").collect()]
+    assert len(q) > 1 and q == sorted(sorted(q, key=lambda x: x[1], reverse=True), key=lambda x: x[0])
+
+
+def test_views_as_named(spark, monkeypatch):
+    """SQL text opens the tables that it names and no other."""
+    opened = []
+    monkeypatch.setattr("tidemark.sources.tables.table", lambda s, d, n: opened.append(n) or table(s, d, n))
+    QUERIES["point_lookup"](spark, SF)
+    assert opened == ["lineitem"]
+    opened.clear()
+    QUERIES["join_3way_range"](spark, SF)
+    assert sorted(opened) == ["lineitem", "part", "supplier"]
+
+
+def test_row_ids(spark):
+    ids = R.with_row_id(spark.createDataFrame([(1, None), (None, 1), (1, 2), (1, 2)], "a int, b int"), ["a", "b"])
+    assert ids.select("_rid").distinct().count() == 3 and ids.schema["_rid"].dataType.simpleString() == "binary"

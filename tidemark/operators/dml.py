@@ -1,17 +1,20 @@
 """INSERT, DELETE and UPDATE on Parquet tables.
 
-Parquet files don't change, so each statement writes the new contents to a version folder and moves one pointer file
-at the end: readers see the old or the new version, never a mixture, and a lost executor only repeats its tasks.
+Parquet files don't change, so each statement adds files and ends with one manifest that says which files are the table:
+readers see the old or the new version, never a mixture, and a lost executor only repeats its tasks.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark.sources import files
 from tidemark.sources.catalog import unique_violations
 
 
@@ -40,79 +43,110 @@ def updated(base: DataFrame, changes: Mapping[str, Column], condition: Column) -
     return base.select(*[F.when(hit, changes[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in base.columns])
 
 
+class LostUpdate(RuntimeError):
+    """Another writer changed the table after this statement had read it."""
+
+
 class VersionedTable:
-    """A table at path with versions v=<id> and a pointer file; any file system that Hadoop can reach."""
+    """A table at path, on any file system that Hadoop can reach.
+
+    `data/` has folders of Parquet files that never change, `log/` a manifest for each version: the schema and the folders
+    that make it up. INSERT adds one folder and copies nothing; DELETE and UPDATE write anew the folders that have a row
+    to change. The next manifest's number can be taken once: a statement that read an older version finds it taken and
+    raises LostUpdate, but for INSERT, which checks its keys against the new version and takes the next number."""
 
     def __init__(self, spark: SparkSession, path: str, unique: tuple[str, ...] = ()):
         self.spark, self.path, self.unique = spark, path.rstrip("/"), unique
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _current(self) -> str | None:
-        fs, path = self._fs()
-        pointer = path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _point(self, version: str) -> None:
-        """Moves the pointer: a whole file is renamed over the old one, so no reader sees half of it."""
-        fs, path = self._fs()
-        fresh, pointer = path(f"{self.path}/.CURRENT-{version}"), path(f"{self.path}/CURRENT")
-        out = fs.create(fresh, True)
+    def _latest(self) -> tuple[int, StructType, list[str]]:
+        """(version, schema, folders)."""
+        done = [n for n in files.names(self.spark, f"{self.path}/log") if n.endswith(".json") and not n.startswith(".")]
+        if not done:
+            raise FileNotFoundError(f"no table at {self.path}")
+        raw = json.loads(files.read_text(self.spark, f"{self.path}/log/{done[-1]}"))
+        return int(done[-1][:-5]), StructType.fromJson(raw["schema"]), raw["parts"]
+
+    def _commit(self, version: int, schema: StructType, parts: list[str]) -> None:
         try:
-            out.write(version.encode())
-        finally:
-            out.close()
-        jvm = self.spark._jvm
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+            files.write_text(self.spark, f"{self.path}/log/{version:012d}.json", json.dumps({"schema": schema.jsonValue(), "parts": parts}))
+        except files.Taken as e:
+            raise LostUpdate(f"version {version} of {self.path} has been written by another") from e
+
+    def _add(self, df: DataFrame) -> str:
+        """df in a folder of its own, which no version has yet."""
+        part = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/data/{part}")
+        return part
+
+    def _rows(self, schema: StructType, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{p}" for p in parts])
 
     def read(self) -> DataFrame:
-        if (v := self._current()) is None:
-            raise FileNotFoundError(f"no table at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v={v}")
+        _, schema, parts = self._latest()
+        return self._rows(schema, parts)
 
     def replace(self, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/v={version}")
-        self._point(version)
+        """A new version with these rows alone; makes the table if there is none."""
+        try:
+            version = self._latest()[0]
+        except FileNotFoundError:
+            version = 0
+        self._commit(version + 1, df.schema, [self._add(df)])
 
     def insert(self, rows: DataFrame) -> int:
-        """Number of rows added. With a unique key, repeats inside the rows or against the table are refused first."""
-        base = self.read()
-        new = inserted(base.limit(0), rows)
+        """Number of rows added. The rows are evaluated once, into their folder. With a unique key, repeats inside them or
+        against the table are refused."""
+        _, schema, _ = self._latest()
+        part = self._add(inserted(self._rows(schema, []), rows))
+        new = self._rows(schema, [part])
         n = new.count()
-        if self.unique and n:
-            keys = list(self.unique)
-            if unique_violations(new, keys).limit(1).count() or new.join(base.select(*keys), keys, "left_semi").limit(1).count():
+        keys = list(self.unique)
+        if n and keys and not unique_violations(new, keys).isEmpty():
+            files.delete(self.spark, f"{self.path}/data/{part}")
+            raise UniqueViolation(f"repeated key in {keys}")
+        while n:
+            version, _, parts = self._latest()
+            if keys and not new.join(self._rows(schema, parts).select(*keys), keys, "left_semi").isEmpty():
+                files.delete(self.spark, f"{self.path}/data/{part}")
                 raise UniqueViolation(f"repeated key in {keys}")
-        if n:
-            self.replace(base.union(new))
+            try:
+                self._commit(version + 1, schema, [*parts, part])
+                break
+            except LostUpdate:
+                continue  # another row set came in between: check against it, too
         return n
 
+    def _change(self, condition: Column, new: Callable[[DataFrame], DataFrame]) -> int:
+        """Number of rows that meet the condition; the folders that have one become new(their rows)."""
+        version, schema, parts = self._latest()
+        name = F.regexp_extract(F.input_file_name(), "/data/([0-9a-f]{32})/", 1)
+        hits = self._rows(schema, parts).where(condition).groupBy(name.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a folder
+        if hits:
+            hit = [r["part"] for r in hits]
+            self._commit(version + 1, schema, [p for p in parts if p not in hit] + [self._add(new(self._rows(schema, hit)))])
+        return sum(r["n"] for r in hits)
+
     def delete(self, condition: Column) -> int:
-        base = self.read()
-        n = base.where(condition).count()
-        if n:
-            self.replace(deleted(base, condition))
-        return n
+        return self._change(condition, lambda base: deleted(base, condition))
 
     def update(self, changes: Mapping[str, Column], condition: Column) -> int:
-        base = self.read()
-        n = base.where(condition).count()
-        if n:
-            self.replace(updated(base, changes, condition))
-        return n
+        return self._change(condition, lambda base: updated(base, changes, condition))
 
     def truncate(self) -> None:
-        self.replace(self.read().limit(0))
+        version, schema, _ = self._latest()
+        self._commit(version + 1, schema, [])
+
+    def drop(self) -> None:
+        files.delete(self.spark, self.path)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes what only versions before the last `keep` have, and their manifests; the number of folders removed.
+        Readers of those versions, and statements that haven't committed, lose their files: run it when there are none."""
+        done = [n for n in files.names(self.spark, f"{self.path}/log") if n.endswith(".json") and not n.startswith(".")]
+        held = {p for n in done[-keep:] for p in json.loads(files.read_text(self.spark, f"{self.path}/log/{n}"))["parts"]}
+        gone = [p for p in files.names(self.spark, f"{self.path}/data") if p not in held]
+        for path in [*[f"data/{p}" for p in gone], *[f"log/{n}" for n in done[:-keep]]]:
+            files.delete(self.spark, f"{self.path}/{path}")
+        return len(gone)

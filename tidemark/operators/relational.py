@@ -37,8 +37,10 @@ def scan(df: DataFrame, columns: Sequence[str], *conjuncts: Condition) -> DataFr
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = "_rid") -> DataFrame:
-    """A content-derived row id, the same whatever the partitioning: the 64-bit hash of the ordering columns. Not an address, so it survives a recomputation on another executor; equal rows share it."""
-    return df.withColumn(name, F.xxhash64(*order))
+    """A content-derived row id, the same whatever the partitioning: 128 bits of a digest of the ordering columns, so few
+    that even 10^15 rows hardly share one by chance. Not an address, so it survives a recomputation on another executor;
+    equal rows share it."""
+    return df.withColumn(name, F.unhex(F.md5(F.to_json(F.struct(*order), {"ignoreNullFields": "false"}))))
 
 
 def index_scan(df: DataFrame, key: str, low=None, high=None, low_inclusive=True, high_inclusive=True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import relational as R
 from tidemark.operators.bulk import BulkGroupBy, BulkScan, CountTuples, ForwardLeft, Identity, TableInput
-from tidemark.operators.dml import deleted, inserted, updated
+from tidemark.functions.types import parse_field
+from tidemark.operators.dml import VersionedTable, deleted, inserted, updated
 from tidemark.operators.predicates import Atom, Between, JoinAtom, Junction
 from tidemark.plans import sql as S
+from tidemark.sources.files import shared_dir
 from tidemark.sources.tables import PARTSUPPLIER_SQL, partsupplier, register_views, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +47,7 @@ def _sql(name: str, text: str, oracle: str | None = None) -> None:
     """A query in the engine's own SQL subset."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, S.tables_of(S.parse(text)))
         return S.query(spark, text)
 
     QUERIES[name], ORACLE[name] = run, oracle or _PS + text.replace('"', "'")
@@ -267,9 +270,11 @@ _FLAGSHIP_SQL = f"SELECT nation, segment, ROUND(revenue, 2) AS revenue, n FROM (
 
 
 def _flagship(order: str):
+    text = f"SELECT n.n_name AS nation, c.c_mktsegment AS segment, SUM(l.l_extendedprice) AS revenue, COUNT(*) AS n {_FLAGSHIP_FROM} HAVING n > 100 ORDER BY {order}"
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir)
-        out = S.query(spark, f"SELECT n.n_name AS nation, c.c_mktsegment AS segment, SUM(l.l_extendedprice) AS revenue, COUNT(*) AS n {_FLAGSHIP_FROM} HAVING n > 100 ORDER BY {order}")
+        register_views(spark, sf_dir, S.tables_of(S.parse(text)))
+        out = S.query(spark, text)
         return out.withColumn("revenue", money("revenue"))
 
     return run
@@ -376,3 +381,85 @@ def dml_delete(s):
 @_t("part")
 def dml_update(p):
     return updated(p.select("p_partkey", "p_brand", "p_size"), {"p_brand": F.concat("p_brand", F.lit("!")), "p_size": F.col("p_size") - 25}, F.col("p_size") > 25)
+
+
+def _statements(name: str, columns: str, source: str, statements: list[str], oracle: str) -> None:
+    """A query that makes a table of some columns of another, runs statements on it, and reads it back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = VersionedTable(spark, f"{shared_dir(spark)}/tidemark/tables/{uuid.uuid4().hex}")
+        t.replace(table(spark, sf_dir, source).selectExpr(*columns.split(", ")))
+        for text in statements:
+            register_views(spark, sf_dir, S.tables_of(S.parse(text)) - {"t"})
+            S.execute(spark, text, {"t": t})
+        return t.read()
+
+    QUERIES[name], ORACLE[name] = run, oracle
+
+
+_statements(
+    "dml_sql_insert_values", "r_regionkey, r_name", "region", ['INSERT INTO t VALUES (100, "NEW"), (-1, "it\'s"), (NULL, NULL)', 'INSERT INTO t VALUES (101, "")'],
+    "SELECT * FROM region UNION ALL (VALUES (100, 'NEW'), (-1, 'it''s'), (NULL, NULL), (101, ''))",
+)
+_statements(
+    "dml_sql_insert_select", "s_suppkey, s_name, s_acctbal", "supplier", ["INSERT INTO t SELECT s.s_suppkey + 100000 AS k, s.s_name, s.s_acctbal * -1 AS b FROM supplier s, nation n WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = 2"],
+    "SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 100000, s_name, s_acctbal * -1 FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 2",
+)
+_statements(
+    "dml_sql_update", "p_partkey, p_brand, p_size", "part", ['UPDATE t SET p_brand = "none", p_size = t.p_size * 2 + 1 WHERE t.p_size > 25 AND t.p_brand < "Brand#4"'],
+    "SELECT p_partkey, CASE WHEN p_size > 25 AND p_brand < 'Brand#4' THEN 'none' ELSE p_brand END AS p_brand, CASE WHEN p_size > 25 AND p_brand < 'Brand#4' THEN p_size * 2 + 1 ELSE p_size END AS p_size FROM part",
+)
+_statements("dml_sql_delete", "c_custkey, c_nationkey, c_acctbal", "customer", ["DELETE FROM t WHERE t.c_acctbal < -100 AND t.c_nationkey <> 3", "DELETE FROM t WHERE t.c_custkey = 1"],
+    "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE NOT (c_acctbal < -100 AND c_nationkey <> 3) AND c_custkey <> 1",
+)
+_statements(
+    "dml_sql_all", "n_nationkey, n_name, n_regionkey", "nation",
+    ['INSERT INTO t VALUES (50, "X", 9), (51, "Y", 9)', "UPDATE t SET n_regionkey = t.n_regionkey - 10 WHERE t.n_nationkey >= 50", "DELETE FROM t WHERE t.n_nationkey = 51", "INSERT INTO t SELECT u.n_nationkey, u.n_name, u.n_regionkey FROM t u WHERE u.n_nationkey = 50"],
+    "SELECT * FROM nation UNION ALL (VALUES (50, 'X', -1), (50, 'X', -1))",
+)
+
+# ---- literals and typed text
+
+_sql(
+    "literal_signed",
+    "SELECT c.c_custkey AS c_custkey, c.c_custkey - -3 AS up, c.c_custkey * -2 + 1 AS down, -c.c_nationkey AS neg FROM customer c WHERE c.c_acctbal > -500.5 AND c.c_custkey-3 > -1",
+    "SELECT c_custkey, c_custkey - -3 AS up, c_custkey * -2 + 1 AS down, -c_nationkey AS neg FROM customer WHERE c_acctbal > -500.5 AND c_custkey - 3 > -1",
+)
+_sql(
+    "literal_string",
+    'SELECT c.c_custkey AS c_custkey, "it\'s" AS word FROM customer c WHERE c.c_mktsegment >= "BUILDING" AND c.c_mktsegment <> "MACHINERY"',
+    "SELECT c_custkey, 'it''s' AS word FROM customer WHERE c_mktsegment >= 'BUILDING' AND c_mktsegment <> 'MACHINERY'",
+)
+
+
+@query(
+    "typed_fields",
+    "SELECT o_orderkey AS k, CAST(o_totalprice AS FLOAT) AS price, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE rpad(o_orderstatus, 3, ' ') END AS status, CAST(o_orderdate AS DATE) AS day, "
+    "o_orderpriority AS priority FROM orders",
+)
+@_t("orders")
+def typed_fields(o):
+    status = F.when(F.col("o_custkey") % 7 == 0, F.lit("NULL")).otherwise(F.col("o_orderstatus"))
+    text = {"k": (F.col("o_orderkey").cast("string"), "BIGINT"), "price": (F.col("o_totalprice").cast("string"), "FLOAT"), "status": (status, "CHAR(3)"),
+            "day": (F.date_format("o_orderdate", "yyyy-M-d"), "DATE"), "priority": (F.col("o_orderpriority"), "VARCHAR(20)")}
+    return o.select(*[parse_field(c, kind).alias(n) for n, (c, kind) in text.items()])
+
+
+_BAD = (
+    "", "DROP TABLE t", "SELECT t.a FROM t WHERE t.a ! 3", 'SELECT t.a FROM t WHERE t.a = "x', "SELECT t.a + 1 FROM t", "SELECT u.a FROM t", "SELECT t.a, COUNT(*) AS n FROM t GROUP BY t.b", "SELECT t.a FROM t t LIMIT 3",
+)
+
+
+@query(
+    "parse_errors",
+    "SELECT * FROM (VALUES (0, 'UNEXPECTED_END', 0), (1, 'NOT_A_STATEMENT', 0), (2, 'BAD_CHARACTER', 28), (3, 'OPEN_STRING', 30), (4, 'ALIAS_NEEDED', 7), (5, 'UNKNOWN_ALIAS', 16), (6, 'UNGROUPED_COLUMN', 44), "
+    "(7, 'TRAILING_INPUT', 20)) v(n, code, place)",
+)
+def parse_errors(spark, sf_dir):
+    rows = []
+    for n, text in enumerate(_BAD):
+        try:
+            S.parse(text)
+        except S.ParseError as e:
+            rows.append((n, e.code.name, e.position))
+    return spark.createDataFrame(rows, "n int, code string, place int")

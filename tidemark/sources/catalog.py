@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import files
+
 
 @dataclass
 class Column:
@@ -83,14 +85,14 @@ class Catalog:
     def indexes_on(self, table: str, column: str | None = None) -> list[Index]:
         return [i for i in self.indexes.values() if i.table == table.lower() and column in (None, i.column)]
 
-    def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump({"tables": [asdict(t) for t in self.tables.values()], "indexes": [asdict(i) for i in self.indexes.values()]}, f, indent=1)
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """To any file system that Spark can reach, by the given or the active session."""
+        text = json.dumps({"tables": [asdict(t) for t in self.tables.values()], "indexes": [asdict(i) for i in self.indexes.values()]}, indent=1)
+        files.write_text(spark or SparkSession.active(), path, text, overwrite=True)
 
     @classmethod
-    def load(cls, path: str) -> Catalog:
-        with open(path) as f:
-            raw = json.load(f)
+    def load(cls, path: str, spark: SparkSession | None = None) -> Catalog:
+        raw = json.loads(files.read_text(spark or SparkSession.active(), path))
         out = cls()
         for t in raw["tables"]:
             out.add_table(Table(t["name"], [Column(**c) for c in t["columns"]], t["rows"], t["pages"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,12 @@ PARTSUPPLIER_SQL = (
 )
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of all tables and of partsupplier, for SQL text."""
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    partsupplier(spark.table("lineitem")).createOrReplaceTempView("partsupplier")
+def register_views(spark: SparkSession, sf_dir: str, names: Iterable[str] = (*TABLES, "partsupplier")) -> None:
+    """Temporary views of the named tables, partsupplier among them, for SQL text. Each costs the reading of a Parquet footer;
+    names of none of the tables are left to whoever resolves the text."""
+    for name in set(names) & {*TABLES, "partsupplier"}:
+        df = partsupplier(table(spark, sf_dir, "lineitem")) if name == "partsupplier" else table(spark, sf_dir, name)
+        df.createOrReplaceTempView(name)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
