@@ -52,7 +52,6 @@ def _units(docs: DataFrame) -> DataFrame:
                     rows = []
             yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("h"), "text")
     return rows.mapInPandas(tidy(run), "doc_id bigint, h bigint, u int, start int, stop int, words int, digest binary")
 
@@ -67,9 +66,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first unit. Null and empty texts have no spans. Rows with the same doc_id and text are one document: its spans come
     out once. Null ids sort first. An empty table gives no rows."""
     place = F.struct("doc_id", "h", "u")
-    many = _units(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    with small_batches(docs.sparkSession):
+        units = written(_units(docs), "units")
+    many = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     many = written(many.where("n > 1").select("digest", "first"), "many")
-    again = _units(docs).join(many, "digest").where(~place.eqNullSafe(F.col("first")))
+    again = units.join(many, "digest").where(~place.eqNullSafe(F.col("first")))
     again = again.select("doc_id", "h", "u", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "h", "u"])
     by_doc = Window.partitionBy("doc_id", "h")
     runs = again.withColumn("run", F.col("u") - F.row_number().over(by_doc.orderBy("u")))
@@ -95,7 +96,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
-    small_batches(docs.sparkSession)
     cut_udf = F.pandas_udf(cut, "string")
     # one row per changed document: its spans, at most one for every `min_words` of its words
     per_doc = written(spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
