@@ -92,6 +92,61 @@ def test_top_hard(spark, monkeypatch):
     assert vectors.op2(vector_table(spark, vector_rows())).count() > 0  # an id that three rows have
 
 
+@pytest.fixture(params=[(60, 8, 1000), (200, 4096, 3), (8192, 4096, 1024)], ids=["small", "waves", "one"])
+def shards(request, monkeypatch):
+    for name, value in zip(("SHARD", "BLOCK", "WAVE"), request.param, strict=True):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors, "LEAF", 16)
+
+
+def test_top_repeated(spark, shards):
+    """Repeated query rows have a list each; repeated candidates, ties and many equal vectors count each."""
+    rows = vector_rows() + [(200, [0.5] * 12), (200, [0.5] * 12)] + [(3000 + i, [0.25] * 12) for i in range(400)] + [(0, [-1.0] * 12)]
+    found = bag([tuple(r) for r in vectors.op2(vector_table(spark, rows)).collect()])
+    assert found == bag([(q, n, i, s) for q, best in brute_search(rows, 50, 5, inner, True, True) for n, (s, i) in enumerate(best, 1)])
+    assert sum(r[0] == 50 for r in found) == 15
+
+
+def test_nearest_repeated(spark, shards):
+    rows = vector_rows() + [(200, [0.5] * 12), (200, [0.5] * 12), (200, [3.0] * 12)] + [(3000 + i, [0.25] * 12) for i in range(400)] + [(0, [-1.0] * 12)]
+    found = bag([tuple(r) for r in vectors.op3(vector_table(spark, rows)).collect()])
+    expected = bag([(q, n, i, s) for q, best in brute_search(rows, 100, 10, distance, False, False) for n, (s, i) in enumerate(best, 1)])
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    near = {(q, i) for q, _, i, _ in expected}
+    assert sum((q, i) in near for q, _, i, _ in found) >= 0.97 * len(found)
+
+
+def test_code_products():
+    r = np.random.default_rng(1)
+    for d in (1, 7, 8, 12, 64):
+        v, q = r.normal(size=(50, d)), r.normal(size=(9, d))
+        signs = np.where(v >= 0, 1, -1) / np.sqrt(d)
+        assert np.allclose(vectors.code_products(np.packbits(v >= 0, axis=1), q), q @ signs.T, atol=1e-5)
+
+
+def test_work_in_proportion(spark, monkeypatch):
+    """Each shard's index is built once, and rows go to one shard: what is dealt to tasks is queries times the shards that they reach."""
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    r = np.random.default_rng(5)
+    centres = 40 * r.normal(size=(20, 8))
+    rows = [(i, (centres[i % 20] + 0.1 * r.normal(size=8)).tolist()) for i in range(2000)]
+    built, asked = [], []
+    real_index, real_visit = vectors._indexed, vectors._visited
+    monkeypatch.setattr(vectors, "_indexed", lambda *a: built.append(vectors.written(real_index(*a), "i")) or built[-1])
+    monkeypatch.setattr(vectors, "_visited", lambda i, a, f, s: asked.append(vectors.written(a, "a")) or real_visit(i, asked[-1], f, s))
+    found = [tuple(x) for x in vectors.op3(vector_table(spark, rows)).collect()]
+    assert recall(found, brute_search(rows, 100, 10, distance, False, False)) >= 0.97
+    shards, visits = built[0].count(), sum(a.count() for a in asked)
+    assert len(built) == 1 and shards >= 20 and visits <= 20 * shards / 8  # clusters far apart: few shards are reached
+    assert built[0].selectExpr("octet_length(index) AS n").agg({"n": "sum"}).first()[0] < 2000 * 8 * 8 * 4
+
+
+def test_scores_beyond_longs(spark):
+    rows = [(0, [1e19, 0.0]), (1, [5e18, 0.0]), (2, [1e18, 0.0]), (3, [1e17, 0.0]), (4, [-1e18, 0.0]), (5, [-1e19, 0.0])]
+    found = [tuple(x) for x in vectors.op2(vector_table(spark, rows)).orderBy("rank").collect()]
+    assert [x[2] for x in found] == [1, 2, 3, 4, 5] and {x[3] for x in found} == {2**63 - 1, -(2**63)}
+
+
 def test_top_own_rows():
     """A query's own rows, however many, take no candidate's place in a leaf."""
     v = np.array([[9.0, 9.0]] * 8 + [[float(i), 1.0] for i in range(8)])
