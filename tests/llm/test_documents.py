@@ -194,6 +194,43 @@ def test_lines_hard(spark, table, m):
     assert set(table.columns) <= set(out.columns)
 
 
+def brute_neighbours(rows):
+    """Longest common prefixes of a suffix array made by sorting whole suffixes, by the place of each; ends of texts and
+    lines that occur once are ends that nothing shares."""
+    own = {r: tuple(x.strip(" ") for x in r[1].split("\n") if x.strip(" ")) for r in {r for r in rows if r[1]}}
+    suffixes = sorted((v[i:], k, i) for k, v in own.items() for i in range(len(v)))
+    lcp = [0]
+    for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:], strict=False):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        lcp.append(n)
+    lcp.append(0)
+    return sorted((k[0] is not None, k[0] or 0, k[1], i, max(lcp[at], lcp[at + 1])) for at, (_, k, i) in enumerate(suffixes) if max(lcp[at], lcp[at + 1]))
+
+
+def test_suffix_array(spark, table):
+    """Every line's longest run that occurs elsewhere, too, is that of a brute-force suffix array; so are the interval values' sums."""
+    import hashlib
+
+    r = __import__("random").Random(11)
+    long = [(i, "\n".join(r.choice("abc") for _ in range(r.randint(0, 40)))) for i in range(25)]
+    long += [(100 + i, "\n".join(f"l{j}" for j in range(70))) for i in range(3)] + [(200, "\n".join(["same"] * 33))]
+    for rows, df in ((long, docs(spark, long)), (docs_rows(), table)):
+        texts = {hashlib.md5(t.encode()).digest(): t for _, t in rows if t}
+        found = lines.common_prefixes(lines._suffixes(df)).collect()
+        got = sorted((x["doc_id"] is not None, x["doc_id"] or 0, texts[bytes(x["h"])], x["i"], n) for x in found if (n := max(x["back"], x["ahead"])))
+        assert got == brute_neighbours(rows)
+        assert sum(x["back"] for x in found) == sum(x["ahead"] for x in found)
+
+
+def test_run_lengths(spark):
+    """Runs are as long as the copies, joined where they touch."""
+    rows = [(1, "\n".join("abcdefgh")), (2, "x\nb\nc\nd\ne\ny\nf\ng\nh"), (3, "a\nb\nc\nq\nd\ne\nf\ng\nh")]
+    found = sorted((x["doc_id"], x["first"], x["last"]) for x in lines.repeated_runs(docs(spark, rows)).collect())
+    assert found == [(2, 1, 4), (2, 6, 8), (3, 0, 2), (3, 4, 8)]
+
+
 def brute_spans(rows, min_words):
     keys = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0))
     first = {}

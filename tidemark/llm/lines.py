@@ -1,18 +1,19 @@
 """Line dedup: a suffix array over line ids by prefix doubling, DataFrame operations only.
 
-The lines that aren't blank, of all documents, are sequences of line ids. Ranks of all one-line prefixes come from
-sorting the distinct lines that occur twice or more; ranks of prefixes twice as long come from sorting the distinct pairs
-(rank here, rank one prefix length on), and so to the depth `min_lines` (for a depth between two powers the last pair
-overlaps). Suffixes of equal rank are an interval whose longest common prefix has at least `min_lines` lines; prefixes
-that occur once leave at each step, as no longer one can repeat. Each interval keeps its first suffix by document and
-place, and the lines of the other prefixes are later copies. Joined where they touch or overlap they are the maximal
-repeated runs: a run of L lines that occurs before has every one of its L - min_lines + 1 prefixes in such an
-interval, and nothing shorter than a run does. Deeper ranks would only split intervals whose lines are marked already.
+The lines that aren't blank, of all documents, are sequences of line ids. A suffix starts at a line that occurs twice or
+more. Its path begins with that line's rank; in a step that doubles the depth, suffixes that share a path so far are
+sorted by the path that stands one depth on, and the rank of the pair is added to the path. Steps go on until no two
+suffixes share a path but such that come to the same end, a line that occurs once or the end of the text; only suffixes that
+still share one are ranked again, and documents without such a suffix leave. Suffixes in the order of their paths are the
+suffix array. Paths also hold the longest common prefixes of neighbours: an equal beginning of k ranks is one of 2**(k - 1)
+lines, and what follows is compared in the same way. Neighbours with at least `min_lines` lines in common are an
+interval, whose value is its least common prefix. Each interval keeps its first suffix by document and place; the
+interval's prefix at the others is a later copy. Copies joined where they touch or overlap are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_rows, digest, written
@@ -32,37 +33,107 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "i", digest(F.trim("line")).alias("line"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows whose keys occur at least twice, with the rank of those keys in place of them.
-
-    Ranks follow the sort order of the keys and have gaps. The distinct keys are a written table, so a key that a third
-    of all rows have is joined by splitting it, not in one task."""
-    many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    ranks = written(many.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return written(rows.join(ranks, keys).select(*_DOC, "i", "rank").dropDuplicates([*_DOC, "i"]), name)
+def _numbered(keys: DataFrame, name: str) -> DataFrame:
+    """keys with ranks in their order, which have gaps. A written table, so that a key that a third of all rows have is
+    joined by splitting it, not in one task."""
+    return written(keys.orderBy(*keys.columns).withColumn("rank", F.monotonically_increasing_id()), name)
+
+
+def _suffixes(docs: DataFrame) -> DataFrame:
+    """doc_id, h, i, path, term (lines from here to the first that occurs once, or to the end) of each line that occurs twice or more."""
+    lines = _sequences(docs)
+    many = _numbered(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"), "ranks")
+    rows = lines.join(many, "line").select(*_DOC, "i", "rank").dropDuplicates([*_DOC, "i"])
+    by_doc = Window.partitionBy(*_DOC)
+    rows = rows.withColumn("island", F.col("i") - F.row_number().over(by_doc.orderBy("i")))
+    term = (F.max("i").over(Window.partitionBy(*_DOC, "island")) - F.col("i") + 1).alias("term")
+    table = written(rows.select(*_DOC, "i", F.array("rank").alias("path"), term, F.lit(True).alias("shared")), "depth1")
+    own, done, step = [*_DOC, "i", "path", "term"], [], 1
+    while not table.where("shared").isEmpty():
+        ahead = F.first("path").over(by_doc.orderBy("i").rangeBetween(step, step))
+        seen = table.withColumn("next", F.coalesce(ahead, F.array().cast("array<bigint>"))).withColumn("live", F.max("shared").over(by_doc))
+        seen = written(seen, "seen")
+        done.append(seen.where("NOT live").select(*own))
+        shared = seen.where("shared")
+        pairs = written(shared.groupBy("path", "next").agg(F.count(F.lit(1)).alias("n")), "pairs")
+        ranks = _numbered(pairs.select("path", "next"), "ranks").join(pairs, ["path", "next"])
+        step *= 2
+        again = shared.join(ranks, ["path", "next"]).select(*_DOC, "i", F.concat("path", F.array("rank")).alias("path"), "term", ((F.col("n") > 1) & (F.col("term") >= step)).alias("shared"))
+        table = written(again.union(seen.where("live AND NOT shared").select(*again.columns)), f"depth{step}")
+    out = table.select(*own)
+    for part in done:
+        out = out.union(part)
+    return written(out, "suffixes")
+
+
+def _equal_ranks() -> Column:
+    """How many ranks two paths begin with in common."""
+    differ = F.array_position(F.zip_with("path", "path2", lambda a, b: F.coalesce(a != b, F.lit(True))), True)
+    return F.when(differ == 0, F.size("path")).otherwise(differ - 1).cast("int")
+
+
+def common_prefixes(suffixes: DataFrame) -> DataFrame:
+    """doc_id, h, i, back and ahead (longest common prefix with the neighbour before and after in the suffix array) of all suffixes."""
+    order = written(suffixes.orderBy("path", *_DOC, "i").withColumn("at", F.monotonically_increasing_id()), "array")
+    # the place after a partition's last one is the first of the next partition that has any
+    ends = order.groupBy(F.shiftright("at", 33).alias("p")).agg(F.min("at").alias("begin"), F.max("at").alias("last"))
+    turns = written(ends.withColumn("begin2", F.lead("begin").over(Window.orderBy("p"))).select("last", "begin2"), "turns")  # a row for each partition
+    after = F.when(F.col("last").isNull(), F.col("at") + 1).otherwise(F.col("begin2"))
+    before = order.join(turns, order["at"] == turns["last"], "left").select(after.alias("at"), *[F.col(c).alias(f"{c}2") for c in (*_DOC, "i", "path", "term")])
+    pairs = order.join(before, "at").where(F.col("path")[0] == F.col("path2")[0]).select("at", *_DOC, "i", "path", "term", "doc_id2", "h2", "i2", "path2", "term2")
+    known = []
+    left = pairs.withColumn("lcp", F.lit(0))
+    while True:
+        equal = _equal_ranks()
+        more = F.when(F.col("path") == F.col("path2"), F.least("term", "term2")).when(equal == 0, 0).otherwise(F.pow(F.lit(2), equal - 1).cast("int"))
+        # `term` is that of the places compared now
+        over = (F.col("path") == F.col("path2")) | (equal == 0) | (F.least("term", "term2") <= more)
+        left = written(left.select("at", *_DOC, "i", "doc_id2", "h2", "i2", (F.col("lcp") + more).alias("lcp"), over.alias("over")), "left")
+        known.append(left.where("over").select("at", "lcp"))
+        left = left.where("NOT over")
+        if left.isEmpty():
+            break
+        places = lambda n: suffixes.select(*[F.col(c).alias(f"to_{c}") for c in _DOC], F.col("i").alias("to_i"), F.col("path").alias(f"path{n}"), F.col("term").alias(f"term{n}"))
+        for n in ("", "2"):
+            same = F.col(f"doc_id{n}").eqNullSafe(F.col("to_doc_id")) & (F.col(f"h{n}") == F.col("to_h")) & (F.col(f"i{n}") + F.col("lcp") == F.col("to_i"))
+            left = left.join(places(n), same).drop("to_doc_id", "to_h", "to_i")
+    found = known[0]
+    for part in known[1:]:
+        found = found.union(part)
+    found = written(found, "lcp")
+    ahead = found.join(pairs.select("at", "doc_id2", "h2", "i2"), "at").select(F.col("doc_id2").alias("doc_id"), F.col("h2").alias("h"), F.col("i2").alias("i"), F.lit(0).alias("back"), F.col("lcp").alias("ahead"))
+    back = order.join(found, "at", "left").select(*_DOC, "i", F.coalesce("lcp", F.lit(0)).alias("back"), F.lit(0).alias("ahead"))
+    return back.union(ahead).groupBy(*_DOC, "i").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, h, first and last (numbers of lines that aren't blank, from 0) of each maximal run of later copies.
 
     A copy is later than another by (doc_id, digest of the text, line). Rows with the same doc_id and text are one
-    document. Null and empty texts have no lines. Copies may overlap: of a line ten times over, the first stays if
-    min_lines is 1."""
+    document. Null and empty texts have no lines; an empty table has no runs. Copies may overlap: of a line ten times over,
+    the first stays if min_lines is 1."""
     if min_lines < 1:
         raise ValueError("min_lines is 1 or more")
-    ranked, depth = _ranked(_sequences(docs), ["line"], "depth1"), 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = Window.partitionBy(*_DOC).orderBy("i").rangeBetween(step, step)
-        pairs = ranked.withColumn("next", F.first("rank").over(ahead)).where("next IS NOT NULL")
-        depth += step
-        ranked = _ranked(pairs.withColumnRenamed("rank", "here"), ["here", "next"], f"depth{depth}")
+    suffixes = _suffixes(docs)
+    prefixes = common_prefixes(suffixes).where(F.greatest("back", "ahead") >= min_lines)
+    # an interval's name: the ranks of its first 2**k lines, and of as many that end with line min_lines
+    k = min_lines.bit_length() - 1
+    depth = min_lines - 2**k
+    tail = F.slice(F.first("path").over(Window.partitionBy(*_DOC).orderBy("i").rangeBetween(depth, depth)), 1, k + 1)
+    named = suffixes.withColumn("tail", tail if depth else F.array().cast("array<bigint>")).withColumn("head", F.slice("path", 1, k + 1)).where(F.col("term") >= min_lines)
+    members = written(named.join(prefixes, _same_place(named, prefixes)).select(named["doc_id"], named["h"], named["i"], "head", "tail", "back"), "members")
     place = F.struct(*_DOC, "i")
-    intervals = written(ranked.groupBy("rank").agg(F.min(place).alias("first")), "intervals")
-    later = ranked.join(intervals, "rank").where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "i")
+    value = F.min(F.when(F.col("back") >= min_lines, F.col("back"))).alias("value")
+    intervals = written(members.groupBy("head", "tail").agg(F.min(place).alias("first"), value), "intervals")
+    later = members.join(intervals, ["head", "tail"]).where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "i", (F.col("i") + F.col("value") - 1).alias("last"))
     by_doc = Window.partitionBy(*_DOC).orderBy("i")
-    starts = later.withColumn("new", F.when(F.col("i") - F.lag("i").over(by_doc) <= min_lines, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc))
-    return starts.groupBy(*_DOC, "run").agg(F.min("i").alias("first"), (F.max("i") + min_lines - 1).alias("last")).drop("run")
+    reached = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    starts = later.withColumn("new", F.when(F.col("i") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc))
+    return starts.groupBy(*_DOC, "run").agg(F.min("i").alias("first"), F.max("last").alias("last")).drop("run")
+
+
+def _same_place(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"]) & (a["i"] == b["i"])
 
 
 def without_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
