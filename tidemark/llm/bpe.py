@@ -20,9 +20,8 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import tidy
+from tidemark.llm.columns import of_texts
 
 TOKENIZER = "word_bpe_49k.json"
 #: White space as the tokenizer's patterns know it, and the pattern of its words.
@@ -155,14 +154,15 @@ def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
     gives no rows. Nothing depends on other rows or columns, so there are no ties."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         remembered = _both(path)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for text in pdf["text"]:
+            for text in batch:
                 found = [x for x in map(remembered.__getitem__, chunks(text if isinstance(text, str) else "")) if x[0]]
                 counts, ids, strings = zip(*found, strict=True) if found else ((), (), ())
                 out.append((sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(strings).encode()).hexdigest()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    coded = of_texts(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", coded("text").alias("coded")).select("doc_id", "coded.*")

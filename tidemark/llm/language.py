@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tidemark.llm.columns import of_texts
 from tidemark.llm.common import fresh, small_batches, tidy
 
 UNKNOWN = "und"
@@ -171,13 +172,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     Null text, text without a letter, or no prototypes: `und` with score 0; so are texts of FEW_LETTERS or more whose
     best cosine with prototypes and those of `evenly` is below a floor above 0. Ties go to the first language by name.
     Texts are looked at whole. None of `keep` may be called lang_pred or score."""
-    own = fresh(keep, "_text")
     names = sorted(prototypes)
     columns = [*[prototypes[n] for n in names], *(evenly or {}).values()]
     weights = np.stack(columns, axis=1).astype(np.float32) if names else None
     dimensions = len(weights) if names else 0
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters = Letters(dimensions)
         known, table = np.zeros(0, np.int64), np.zeros((0, len(columns)))
 
@@ -193,8 +193,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 known, table = both[order], np.concatenate([table, rows])[order]
             return table[np.searchsorted(known, codes)]
 
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf.pop(own)]
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch]
             pred, best = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             for run in _pieces(texts) if names else ():
                 triples, place, starts = trigrams([texts[i] for i in run])
@@ -215,11 +215,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                     if some[at]:
                         pred[i] = names[top[at]]
                         best[i] = share[at].max() / total[at] if total[at] > 0 else 0.0
-            yield pdf.assign(lang_pred=pred, score=best)
+            yield pd.DataFrame({"lang_pred": pred, "score": best})
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return docs.select(*kept, F.col("text").alias(own)).mapInPandas(tidy(score), f"{schema}, lang_pred string, score double")
+    kept, found = [F.col(f"`{c}`") for c in keep], fresh(keep, "_found")
+    scored = of_texts(score, "lang_pred string, score double")
+    return docs.select(*kept, scored("text").alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def fold(doc_id: Column) -> Column:

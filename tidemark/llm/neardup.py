@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import of_texts
 from tidemark.llm.common import as_rows, small_batches, tidy, written
 from tidemark.llm.components import components
 
@@ -113,10 +114,10 @@ def _slices(items: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, cls (digest of the set; null if it is empty) and sig of each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = Words()
-        for pdf in batches:
-            texts = [t if t is not None else b"" for t in pdf["text"]]
+        for batch in batches:
+            texts = [t if t is not None else b"" for t in batch]
             for part in _slices(texts):
                 sets = shingle_sets(texts[part], k, words)
                 some = [i for i, s in enumerate(sets) if len(s)]
@@ -124,10 +125,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 cls, sig = [None] * len(sets), [None] * len(sets)
                 for at, i in enumerate(some):
                     cls[i], sig[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), sigs[at].tobytes()
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part].astype("Int64"), "h": pdf["h"].iloc[part], "n_shingles": [len(s) for s in sets], "cls": cls, "sig": sig})
+                yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "cls": cls, "sig": sig})
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(tidy(run), "doc_id bigint, h bigint, n_shingles bigint, cls binary, sig binary")
+    sketched = of_texts(run, "n_shingles bigint, cls binary, sig binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), sketched(F.col("text").cast("binary")).alias("sketch"))
+    return rows.select("doc_id", "h", "sketch.*")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import chunks, default_path
-from tidemark.llm.common import small_batches, tidy, written
+from tidemark.llm.columns import of_numbers, of_texts
+from tidemark.llm.common import small_batches, written
 
 SIZE = 2048
 END = 0
@@ -115,22 +116,20 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     """doc_id, piece, start, length, ids_crc32 of each piece. Null text is empty: one piece with the end id alone."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
-        for pdf in batches:
-            rows, ids_of = [], pdf["doc_id"].tolist()
-            for at, packed in encoder(pdf["text"]):
+        for batch in batches:
+            out = []
+            for _, packed in encoder(batch):
                 ids = packed + end
-                for k, first in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[first : first + 4 * size]
-                    rows.append((ids_of[at], k, first // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                parts = [ids[first : first + 4 * size] for first in range(0, len(ids), 4 * size)]
+                out.append([{"piece": k, "start": k * size, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, part in enumerate(parts)])
+            yield pd.DataFrame({"pieces": out})
         if len(encoder.known) > 100_000:  # the worker lives on
             encoder.known.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    cut = of_texts(run, "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
+    return docs.select("doc_id", cut("text")["pieces"].alias("pieces")).select("doc_id", F.inline("pieces"))
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -304,22 +303,20 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     firsts = written(counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_first")), "firsts")
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     numbered = salted.withColumn("_k", F.row_number().over(order) - 1).join(firsts, ["length", "_salt"])
-    columns = [c for c in parts.columns]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            number, lengths = (pdf.pop("_k") + pdf.pop("_first")).to_numpy(), pdf["length"].to_numpy()
-            sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            for x in np.unique(lengths):
-                own = np.flatnonzero(lengths == x)
-                first, start, per, begins, offsets = table[int(x)]
-                i = np.searchsorted(first, number[own], side="right") - 1
-                k = number[own] - first[i]
-                sequence[own], offset[own] = start[i] + k // per[i], offsets[begins[i] + k % per[i]]
-            yield pdf.assign(sequence_id=sequence, offset=offset)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return numbered.select(*columns, "_k", "_first").mapInPandas(tidy(place), f"{schema}, sequence_id bigint, offset bigint")
+
+    def place(lengths: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        lengths, numbers = lengths.to_numpy(), numbers.to_numpy()
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for x in np.unique(lengths):
+            own = np.flatnonzero(lengths == x)
+            first, start, per, begins, offsets = table[int(x)]
+            i = np.searchsorted(first, numbers[own], side="right") - 1
+            k = numbers[own] - first[i]
+            sequence[own], offset[own] = start[i] + k // per[i], offsets[begins[i] + k % per[i]]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    placed = of_numbers(place, "sequence_id bigint, offset bigint")
+    return numbered.select(*parts.columns, placed(F.col("length"), F.col("_k") + F.col("_first")).alias("_place")).select(*parts.columns, "_place.*")
 
 
 def op5(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:

@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_rows, small_batches, tidy, written
+from tidemark.llm.columns import of_texts
+from tidemark.llm.common import as_rows, small_batches, written
 
 MIN_WORDS, UNIT_WORDS = 4, 4
 _BORDER = re.compile(r"(?<=[.!?])[ \t]|(\n)")
@@ -42,21 +43,26 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, h, text in zip(pdf["doc_id"].astype("Int64"), pdf["h"], pdf["text"], strict=True):
-                rows += [(doc_id, h, u, *x) for u, x in enumerate(units_of(text))]
-                if len(rows) > 30_000:
-                    yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
+    """doc_id, h (hash of the text), u (number of the unit), start, stop, words, digest."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, n = [], 0
+            for text in batch:
+                out.append([*zip(*units_of(text), strict=True)] or [(), (), (), ()])
+                n += len(out[-1][0])
+                if n > 20_000:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    out, n = [], 0
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     rows = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInPandas(tidy(run), "doc_id bigint, h bigint, u int, start int, stop int, words int, digest binary")
+    cut = of_texts(run, "start array<int>, stop array<int>, words array<int>, digest array<binary>")
+    parts = F.arrays_zip(*[F.col(f"cut.{c}").alias(c) for c in _COLUMNS])
+    return rows.select("doc_id", "h", cut("text").alias("cut")).select("doc_id", "h", F.posexplode(parts).alias("u", "unit")).select("doc_id", "h", "u", "unit.*")
 
 
-_COLUMNS = ["doc_id", "h", "u", "start", "stop", "words", "digest"]
+_COLUMNS = ["start", "stop", "words", "digest"]
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
