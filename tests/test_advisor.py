@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark.operators.predicates import Atom, Between
-from tidemark.plans.advisor import Advisor, Costs, Edge, PageCosts, explain, grouped, rows, selectivity
+from tidemark.plans.advisor import Advisor, Costs, Edge, PageCosts, explain, grouped, most_selective_first, rows, selectivity
 from tidemark.sources.catalog import Catalog, Column, Index, Table
 
 
@@ -76,3 +76,67 @@ def test_published_fetch_costs(pages, n, in_order, cost):
 @pytest.mark.parametrize("pages, cost", [(1, 5040), (2, 5080), (15, 5600), (271, 15840), (1148, 50920), (1473, 63920)])
 def test_published_scan_costs(pages, cost):
     assert PageCosts().scan(Table("t", [], 1, pages)) == cost and PageCosts().nested_loop(2440, 780) == 1903200
+
+
+def star():
+    """The tables of the published join-order cases, by their keys and cardinalities."""
+    c = Catalog()
+    sizes = {
+        "region": (5, {"rk": 5, "name": 5}), "nation": (25, {"nk": 25, "rk": 5}), "supplier": (200, {"sk": 200, "nk": 25}), "customer": (3000, {"ck": 3000, "nk": 25}), "part": (4000, {"pk": 4000, "brand": 25, "price": 2500}),
+        "partsupplier": (16000, {"pk": 4000, "sk": 200}), "orders": (30000, {"ok": 30000, "ck": 2000}), "lineitem": (120515, {"ok": 30000, "pk": 4000, "sk": 200}),
+    }
+    for name, (n, columns) in sizes.items():
+        c.add_table(Table(name, [Column(k, "int", distinct=d, low=0, high=d) for k, d in columns.items()], n, max(1, n // 14)))
+    c.add_table(Table("lowest", [Column("price", "float", distinct=120), Column("brand", "char(10)", distinct=25), Column("name", "char(25)", distinct=5)], 125))
+    return c
+
+
+ALIASES = {"r": "region", "n": "nation", "s": "supplier", "c": "customer", "p": "part", "ps": "partsupplier", "o": "orders", "l": "lineitem", "m": "lowest"}
+
+
+def best(aliases, edges, **predicates):
+    edges = [Edge(*a.split("."), *b.split(".")) for a, b in (e.split("=") for e in edges.split())]
+    return Advisor(star(), {a: (ALIASES[a], predicates.get(a, ())) for a in aliases.split()}, edges).order()
+
+
+def leaves(t):
+    return [next(iter(t.names))] if t.left is None else leaves(t.left) + leaves(t.right)
+
+
+def connected(t):
+    return t.left is None or (bool(t.edges) and connected(t.left) and connected(t.right))
+
+
+def test_join_of_four_with_predicates():
+    tree = best("s ps n r", "r.rk=n.rk n.nk=s.nk ps.sk=s.sk", ps=(Between("pk", 1000, 1005),), r=(Atom("name", "=", 3),))
+    assert {tree.left.names, tree.right.names} == {frozenset("rn"), frozenset(["ps", "s"])} and [e.left for e in tree.edges] == ["n"]
+
+
+def test_join_of_four_and_eight():
+    four = best("o l s ps", "o.ok=l.ok ps.sk=l.sk ps.pk=l.pk s.sk=l.sk ps.sk=s.sk")
+    assert sorted(leaves(four)) == ["l", "o", "ps", "s"] and connected(four)
+    eight = best("r n c o l ps s p", "r.rk=n.rk c.nk=n.nk c.ck=o.ck o.ok=l.ok s.sk=l.sk p.pk=l.pk ps.sk=l.sk ps.pk=l.pk ps.pk=p.pk ps.sk=s.sk")
+    assert sorted(leaves(eight)) == sorted("r n c o l ps s p".split()) and connected(eight)
+    small = [eight]
+    while small:  # the chain from the smallest tables on is joined before the largest comes in
+        t = small.pop()
+        if t.left and {"r", "n", "c"} <= t.names and "l" not in t.names:
+            assert t.rows <= 30000
+        small += [x for x in (t.left, t.right) if x]
+
+
+def test_join_with_subquery():
+    tree = best("s n r ps p m", "r.rk=n.rk n.nk=s.nk s.sk=ps.sk ps.pk=p.pk m.price=p.price m.brand=p.brand m.name=r.name")
+    assert sorted(leaves(tree)) == sorted("s n r ps p m".split()) and connected(tree)
+
+
+def test_implied_equalities(catalog):
+    """a = b and b = c also join a and c, and one comparison of a class is counted once."""
+    tree = best("ps l s", "ps.sk=s.sk s.sk=l.sk")
+    assert connected(tree) and all(len(t.edges) == 1 for t in (tree, tree.left if tree.left.left else tree.right))
+
+
+def test_conjuncts_in_order(catalog):
+    t = catalog.table("big")
+    few, some, many = Atom("k", "=", 3), Atom("k", "<", 250), Atom("k", "<>", 3)
+    assert most_selective_first(t, [many, some, few]) == [few, some, many]

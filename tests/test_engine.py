@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +10,7 @@ from tidemark.functions.types import no_nan, parse_field, render_field, spark_ty
 from tidemark.operators import relational as R
 from tidemark.operators.bulk import BulkGroupBy, BulkScan, CountTuples, ForwardLeft, MapReduce, TableInput, from_spec, materialise
 from tidemark.operators.dml import LostUpdate, UniqueViolation, VersionedTable
-from tidemark.operators.predicates import Atom, Between, JoinAtom, Junction, from_json, merge_ranges, to_json
+from tidemark.operators.predicates import Atom, Between, JoinAtom, Junction, Truth, from_json, merge_ranges, to_json, truth
 from tidemark.plans import sql as S
 from tidemark.plans.sql import Code, ParseError, parse
 from tidemark.queries import QUERIES
@@ -142,6 +143,37 @@ def test_predicates_travel(spark):
     assert R.filter_(df, Atom("a", "<>", 4)).count() == 5 and R.filter_(df, Junction("or", ())).count() == 0
 
 
+def test_truth(spark):
+    a, never, always = Atom("a", "<", 10), Between("a", 5, 5, False), Between("a")
+    assert [truth(x) for x in (a, never, always, Junction("and", ()), Junction("or", ()))] == [Truth.UNKNOWN, Truth.ALWAYS_FALSE, Truth.ALWAYS_TRUE, Truth.ALWAYS_TRUE, Truth.ALWAYS_FALSE]
+    assert truth(a & never) is Truth.ALWAYS_FALSE and truth(a | always) is Truth.ALWAYS_TRUE and truth(a | never) is Truth.UNKNOWN and truth(always & always) is Truth.ALWAYS_TRUE
+    assert truth(Atom("a", "=", 1) & Atom("a", "=", 2)) is Truth.ALWAYS_FALSE and truth(Atom("a", "=", 1) & Atom("b", "=", 2)) is Truth.UNKNOWN
+    assert truth(Atom("a", ">", 9) & Atom("a", "<=", 3)) is Truth.ALWAYS_FALSE and truth(Atom("a", "=", 7) & Atom("a", "<", 7)) is Truth.ALWAYS_FALSE
+    plan = R.scan(table(spark, SF, "orders"), ["o_orderkey"], Atom("o_custkey", ">", 9), Atom("o_custkey", "<", 3))
+    assert plan.count() == 0 and "LocalTableScan" in plan._jdf.queryExecution().toString()
+
+
+def test_external_sort(tmp_path):
+    """A sort under memory pressure spills and keeps its order; in a process of its own, as the memory is set at its start."""
+    import subprocess
+    import sys
+
+    code = f"""
+from tidemark.session import get_session
+from tidemark.operators import relational as R
+from pyspark.sql import functions as F
+s = get_session(2, "1g", **{{"spark.testing.reservedMemory": "1", "spark.testing.memory": str(40 << 20), "spark.shuffle.spill.numElementsForceSpillThreshold": "5000", "spark.local.dir": {str(tmp_path)!r}}})
+df = s.range(0, 60000, 1, 4).selectExpr("CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 7919) % 60013 END AS a", "id AS b")
+found = [tuple(r) for r in R.sort(df, ("a", True), ("b", False)).toLocalIterator()]
+assert found == sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, -r[1])) and len(found) == 60000
+stages = s.sparkContext._jsc.sc().statusStore().stageList(None, False, False, s.sparkContext._gateway.new_array(s._jvm.double, 0), None)
+print("spilled", sum(stages.apply(i).memoryBytesSpilled() for i in range(stages.size())))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.split("spilled")[1]) > 0
+
+
 def test_scan_pushes_down(spark):
     plan = R.scan(table(spark, SF, "lineitem"), ["l_orderkey"], Atom("l_quantity", ">", 49))._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,49" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from enum import Enum
 from functools import reduce
 from typing import Any
 
@@ -126,6 +127,40 @@ def merge_ranges(atoms: list[Atom]) -> list[Predicate]:
     return out
 
 
+class Truth(Enum):
+    """What is known of a predicate before any row is seen. ALWAYS_TRUE is for rows without NULLs in its columns."""
+
+    UNKNOWN = "unknown"
+    ALWAYS_TRUE = "always true"
+    ALWAYS_FALSE = "always false"
+
+
+def truth(p: Predicate) -> Truth:
+    """From the predicate alone: empty ranges, bounds that no value meets, and what junctions make of their parts."""
+    if isinstance(p, Between):
+        if p.low is None and p.high is None:
+            return Truth.ALWAYS_TRUE
+        known = p.low is not None and p.high is not None
+        empty = known and (p.low > p.high or (p.low == p.high and not (p.low_inclusive and p.high_inclusive)))
+        return Truth.ALWAYS_FALSE if empty else Truth.UNKNOWN
+    if not isinstance(p, Junction):
+        return Truth.UNKNOWN
+    stops, passes = (Truth.ALWAYS_FALSE, Truth.ALWAYS_TRUE) if p.how == "and" else (Truth.ALWAYS_TRUE, Truth.ALWAYS_FALSE)
+    parts = [truth(x) for x in p.parts]
+    if stops in parts or (p.how == "and" and _contradict([x for x in p.parts if isinstance(x, Atom)])):
+        return stops
+    return passes if all(x is passes for x in parts) else Truth.UNKNOWN
+
+
+def _contradict(atoms: list[Atom]) -> bool:
+    """Whether no row can meet all: two values for one column, a value outside the column's range, or an empty range."""
+    for p in merge_ranges(atoms):
+        if isinstance(p, Between) and truth(p) is Truth.ALWAYS_FALSE:
+            return True
+    values = [a for a in atoms if a.op == "="]
+    return any(a.name == b.name and not OPERATORS[b.op](a.value, b.value) for a in values for b in atoms)
+
+
 def to_json(p: Predicate) -> str:
     return json.dumps(p.spec())
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.predicates import Between, Predicate
+from tidemark.operators.predicates import Between, Junction, Predicate, Truth, truth
 
 Condition = Predicate | Column
 
@@ -32,7 +32,9 @@ def filter_(df: DataFrame, *conjuncts: Condition) -> DataFrame:
 
 
 def scan(df: DataFrame, columns: Sequence[str], *conjuncts: Condition) -> DataFrame:
-    """Table scan with pushed-down conjuncts and column pruning."""
+    """Table scan with pushed-down conjuncts and column pruning. Conjuncts that can't all hold read nothing."""
+    if truth(Junction("and", tuple(p for p in conjuncts if isinstance(p, Predicate)))) is Truth.ALWAYS_FALSE:
+        return df.select(*columns).where(F.lit(False))
     return project(filter_(df, *conjuncts), columns)
 
 
