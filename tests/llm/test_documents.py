@@ -131,12 +131,12 @@ def test_across_blocks(spark, monkeypatch):
     """Each class outside the largest component meets all others once, in whatever number of blocks."""
     monkeypatch.setattr(neardup, "ACROSS", 5)
     r = __import__("numpy").random.default_rng(3)
-    low, far = r.integers(0, 9, (1, 36), "uint16"), r.integers(100, 999, (40, 36), "uint16")
+    low, far = r.integers(0, 9, (1, neardup.PLACES), "uint16"), r.integers(100, 65000, (40, neardup.PLACES), "uint16")
     sigs = [far[i] for i in range(40)]
     sigs[7] = sigs[31].copy()
-    sigs[7][:17] = 1
+    sigs[7][: neardup.DISTANCE] = 1
     sigs[12] = sigs[30].copy()
-    sigs[12][:18] = 1
+    sigs[12][: neardup.DISTANCE + 1] = 1
     rows = [(5, bytes([i]), b"top" if i < 4 else bytes([i]), 100, s.tobytes()) for i, s in enumerate([low[0], *sigs[1:]])]
     members = spark.createDataFrame(rows, "key bigint, cls binary, comp binary, n int, sig binary")
     found = {frozenset((bytes(x["x"])[0], bytes(x["y"])[0])) for x in neardup._across(members, 80).collect()}
@@ -252,6 +252,88 @@ def brute_spans(rows, min_words):
     return out
 
 
+def own_units(text):
+    """Sentences joined to four words, found word by word: a sentence ends at a line feed, or at a blank after . ! or ?."""
+    out, begin, words, at = [], 0, [], 0
+    word = ""
+    for at, c in enumerate(text + "\n"):
+        ends = c == "\n" or (c in " \t" and at and text[at - 1] in ".!?")
+        if not c.isspace():
+            word += c
+        elif word:
+            words.append(word.casefold())
+            word = ""
+        if ends:
+            if words and (c == "\n" or len(words) >= 4):
+                out.append((begin, at, len(words), " ".join(words)))
+                words = []
+            if not words:
+                begin = at + 1
+    return out
+
+
+def md(text):
+    return __import__("hashlib").md5(text.encode()).digest()
+
+
+def own_spans(rows, hashes, min_words=4):
+    """Later copies by own_units; hashes order the texts of one id, as the engine does."""
+    keys = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    units, first, out = {k: own_units(k[1]) for k in keys}, {}, []
+    for k in keys:
+        for n, u in enumerate(units[k]):
+            first.setdefault(u[3], (k, n))
+    for k in keys:
+        later = [first[u[3]] != (k, n) for n, u in enumerate(units[k])]
+        n = 0
+        while n < len(later):
+            end = n
+            while end < len(later) and later[end]:
+                end += 1
+            words = sum(u[2] for u in units[k][n:end])
+            if end > n and words >= min_words:
+                out.append((k[0], hashes[k[1]], units[k][n][0], units[k][end - 1][1], words, end - n, first[units[k][n][3]][0][0]))
+            n = max(end, n + 1)
+    return out
+
+
+def test_substrings_own_splitter(spark, table, real):
+    """All rows, those of one id with several texts too, against a splitter and a search that share no code with the module."""
+    for rows, df in ((docs_rows(), table), ([(i, t) for i, t, _ in real], spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))):
+        hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+        found = [tuple(r) for r in substrings.repeated_spans(df).select("doc_id", "h", "start", "stop", "words", "units", "first_doc_id").collect()]
+        assert bag(found) == bag(own_spans(rows, hashes)) and found
+
+
+def test_line_in_eight(spark):
+    """A line of ten words in eight documents, two of which are nothing but that line, stays in the first alone."""
+    line = "this very line of ten words stands in eight documents"
+    rows = [(i, line if i in (3, 6) else f"own words of number {i} before.\n{line}\nand more of its own, {i}.") for i in range(8)]
+    df = docs(spark, rows)
+    assert sorted(r["doc_id"] for r in substrings.op9(df).collect() if r["words"] >= 10) == list(range(1, 8))
+    left = [r["text"] for r in substrings.remove_spans(df, substrings.repeated_spans(df)).collect()]
+    assert sum(line in t for t in left) == 1 and left.count("") == 2
+
+
+def test_large_ids(spark):
+    """64-bit ids beside null ones come out as they are."""
+    big = 2**62 + 1
+    rows = [(None, "some words without an id, that are many enough"), (big, "Other words here, and more of them. One two three four five."), (big + 2, "One two three four five. And an end.")]
+    df = docs(spark, rows)
+    for op in (neardup.op1, lines.op4, packing.op5, language.op6, bpe.op8):
+        assert {r["doc_id"] for r in op(df).collect()} == {None, big, big + 2}, op
+    assert {r["doc_id"] for r in substrings.op9(df).collect()} == {big + 2}
+
+
+def test_session_as_before(spark, table):
+    """Operators leave the session's settings as they are."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    for op in (neardup.op1, packing.op5, language.op6, substrings.op9):
+        op(table.limit(20))
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_units():
     text = "One. Two  words!\n\nÉnd of it all. line x! y z\n . \nlast one is. of five. And"
     assert [text[a:b] for a, b, _, _ in substrings.units_of(text)] == ["One. Two  words!", "Énd of it all.", "line x! y z", " . ", "last one is. of five.", "And"]

@@ -43,6 +43,17 @@ def test_urls_hard(spark, labels):
     assert by[12]["rule"] is None and by[11]["rule"] == "org/es/" and by[17]["path"] == ""
 
 
+def test_urls_empty_and_suffixes(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert urls.op7(pages, labels).collect() == []
+    hosts = spark.createDataFrame([("a.b.co.sg",), ("a.b.co.uk",), ("u@x.co.sg:80",)], "host string")
+    named = lambda *s: [r[0] for r in hosts.select(urls.domain_of(hosts.host, *s)).collect()]
+    assert named() == ["co.sg", "b.co.uk", "co.sg"] and named(("co.sg",)) == ["b.co.sg", "co.uk", "x.co.sg"]
+    long = spark.createDataFrame([(1, "http://example.com/en/" + "7" * 200_000), (2, "x" * 200_000)], "page_id bigint, url string")
+    assert [r["verdict"] for r in urls.op7(long, labels).orderBy("page_id").collect()][0] == "allow"
+
+
 def test_reputation_shrinks(spark):
     rows = [(i, f"http://{'bad' if i < 40 else 'good'}.example.com/{i}") for i in range(80)] + [(100, "http://new.example.com/500")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string")

@@ -77,6 +77,45 @@ def test_language(steps):
     assert 0 < len(steps[1]) < len(steps[0])
 
 
+def test_language_scores(spark):
+    """op6's languages and scores are those of whole vectors, letter by letter, learned from the other folds."""
+    import zlib
+
+    given = [(i, t, g) for i, t, g in rows(spark) if t]
+    table = spark.createDataFrame(given, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r for r in language.op6(table).collect()}
+    letters, sums = language.Letters(language.DIMENSIONS), defaultdict(lambda: np.zeros(language.DIMENSIONS))
+
+    def bundle(text):
+        out = np.zeros(language.DIMENSIONS)
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        for g, n in Counter(w[i : i + 3] for w in (f"\0{w}\0" for w in words) for i in range(len(w) - 2)).items():
+            a, b, d = [letters(ord(c)).astype(float) for c in g]
+            out += n * np.roll(a, 2) * np.roll(b, 1) * d
+        return out
+
+    own = [bundle(t) for _, t, _ in given]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    for (i, _, g), v in zip(given, own, strict=True):
+        if g is not None and not held(i):
+            sums[g] += v
+    names = sorted(sums)
+    for (i, _, _), v in zip(given, own, strict=True):
+        if [x[0] for x in given].count(i) > 1:
+            continue
+        cosines = np.array([v @ sums[n] / np.linalg.norm(sums[n]) for n in names])
+        share = cosines.clip(0)
+        r = found[i]
+        assert r["held_out"] == held(i)
+        if not v.any() or not share.sum():
+            assert r["score"] == 0
+            continue
+        best = np.sort(share / share.sum())[::-1]
+        assert abs(r["score"] - best[0]) < 1e-4
+        if best[0] - best[1] > 1e-4:
+            assert r["lang_pred"] == names[int(cosines.argmax())]
+
+
 def test_unlearned(spark):
     """Texts in no learned language go, however their noise is shared out; clean short texts stay."""
     learned = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").collect()]
@@ -137,6 +176,13 @@ def test_empty(spark, name, stage):
 
 
 def test_run(spark):
+    import os
+
+    shared = f"{spark.conf.get('spark.checkpoint.dir')}/tidemark"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
     out = P.run(spark, "/root/testdata/sf0.001")
     found = out.collect()
     assert set(out.columns) >= {"doc_id", "piece", "length", "sequence_id", "offset"} and check_packing(found)
+    # what is left is the results of the stages
+    left = [os.listdir(f"{shared}/{x}") for x in set(os.listdir(shared)) - before]
+    assert sorted(x for y in left for x in y) == sorted(name for name, _ in P.STAGES)

@@ -5,30 +5,37 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import delete, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when the context ends, but for those written with keep."""
+    folder = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    before = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        delete(spark, folder)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again. It cuts the lineage, outlives executors, and its size
     is known to the planner, which broadcasts it only under spark.sql.autoBroadcastJoinThreshold."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    folder = None if keep else _SCRATCH.get()
+    path = f"{folder or f'{shared_dir(spark)}/tidemark'}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

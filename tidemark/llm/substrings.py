@@ -1,12 +1,14 @@
-"""Substring dedup by hashing small units of text.
-
-A unit is a sentence of a line: a line ends at a line feed, a sentence at . ! or ? before a blank, but sentences of a
-line are joined until they have `UNIT_WORDS` words, since shorter ones repeat by chance. (Whole lines and paragraphs
-miss passages pasted into the middle of a line; whole lines that repeat are runs of repeated units, so of lines of
-`min_words` words or more nothing that line hashing finds is lost.) Units are normalised (case folded, white space
-collapsed) and their digests grouped over all documents. The earliest occurrence, by doc_id, text and place, stays. A
-run of neighbouring units that all occur earlier is removed if it has `min_words` words or more: by default as many as a
-joined unit has, so all that stays are ends of lines with fewer. A passage without a whole unit is not found.
+"""Substring dedup by hashing lines, cut further into sentences.
+
+A line ends at a line feed. Whole lines alone would miss passages pasted into the middle of a line, so a line's units
+are its sentences: one ends at . ! or ? before a blank, but sentences are joined until they have `UNIT_WORDS` words,
+since shorter ones repeat by chance. Units are normalised (case folded, white space collapsed) and their digests grouped
+over all documents. The earliest occurrence, by doc_id, text and place, stays. A run of neighbouring units that all
+occur earlier is removed if it has `min_words` words or more.
+
+A line that occurs earlier is a run of units that do, so of whole lines with `min_words` words or more every later
+copy goes. Later copies of shorter lines, such as headings or one-word answers, stay: they repeat in texts that have
+nothing else in common. A passage without a whole unit is not found.
 """
 
 from __future__ import annotations
@@ -69,8 +71,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h (hash of the text), start, stop, words, units and first_doc_id of each span to remove.
 
     start and stop are character offsets into the text as given; first_doc_id has the earliest occurrence of the span's
-    first unit. Null and empty texts have no spans. Rows with the same doc_id and text are one document: its spans come
-    out once. Null ids sort first. An empty table gives no rows."""
+    first unit. Null and empty texts have no spans; long ones are read whole. Rows with the same doc_id and text are one
+    document: its spans come out once. Texts that share a doc_id are ordered by their hash, so there are no ties. Null ids
+    sort first. Other columns play no part. An empty table gives no rows."""
     place = F.struct("doc_id", "h", "u")
     with small_batches(docs.sparkSession):
         units = written(_units(docs), "units")
@@ -116,5 +119,5 @@ def new_text(name: str, text: Column) -> Column:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Every removed span with its original offsets and the document that keeps its first copy."""
+    """Every removed span with its original offsets and the document that keeps its first copy; cases as in repeated_spans."""
     return repeated_spans(docs).drop("h")

@@ -42,11 +42,12 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and one label; user names and ports are left out, addresses stay whole."""
+def domain_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label; user names and ports are left out, addresses stay whole. suffixes:
+    those of two labels; all others are taken to have one."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    return F.when(bare.rlike(r"^[0-9.]+$") | bare.startswith("["), bare).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    return F.when(bare.rlike(r"^[0-9.]+$") | bare.startswith("["), bare).when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def suffix_of(domain: Column) -> Column:
@@ -60,7 +61,7 @@ def document_of(path: Column) -> Column:
     return F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("bigint")
 
 
-def reputations(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
+def reputations(pages: DataFrame, labels: DataFrame, z: float = Z, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, n (labelled pages), bad, lower (lower bound of its bad share) for every host of pages (host, path).
 
     Page rows count each, labels (doc_id, quality, toxic) once a document, bad if any of its rows is. Without any
@@ -70,7 +71,7 @@ def reputations(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
     per_host = seen.join(label, F.col("doc") == F.col("doc_id"), "left").groupBy("host").agg(
         F.sum(F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0)).alias("n"), F.sum(F.coalesce("bad", F.lit(0)) * F.col("pages")).alias("x")
     )
-    hosts = per_host.select("host", domain_of(F.col("host")).alias("domain"), "n", "x")
+    hosts = per_host.select("host", domain_of(F.col("host"), suffixes).alias("domain"), "n", "x")
     hosts = written(hosts.withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), "domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), "suffixes")
@@ -102,18 +103,20 @@ def reputations(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
     return by_host.select("host", "n", F.col("x").alias("bad"), F.round(lower, 9).alias("lower"))
 
 
-def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, bad_share: float = BAD_SHARE) -> DataFrame:
+def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, bad_share: float = BAD_SHARE, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url). Null urls and such without :// have the
     empty host and path, whose reputation is judged like any other. No labels: every page without a rule is judged by
-    the prior alone."""
+    the prior alone. Repeated rows are rows of their own, and count each; null page_ids stay null; very long urls are read
+    whole. Of rules of one length the first decides; a host whose bound equals bad_share is allowed. No pages: no rows."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    table = written(reputations(rows, labels, z).select(F.col("host").alias("h"), (F.col("lower") > bad_share).alias("bad_host")), "reputations")
+    table = written(reputations(rows, labels, z, suffixes).select(F.col("host").alias("h"), (F.col("lower") > bad_share).alias("bad_host")), "reputations")
     judged = rows.join(table, F.col("host") == F.col("h"), "left").withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("bad_host"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"))
 
 
 def op7(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """verdicts by RULES and the default bounds; other columns play no part."""
     return verdicts(pages, labels)
 
 
