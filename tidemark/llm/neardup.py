@@ -1,11 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles becomes a signature of 36 minima, b = 16 bits each, in 9 chunks of 4. If two
-signatures differ in at most 17 places, some chunk differs in at most one (pigeonhole: 9 chunks with 2 errors each
-would be 18). The allowed error is enumerated by leaving out each of a chunk's places in turn, so two such signatures
-share at least one of 36 exact keys: all pairs within distance 17 meet in a bucket, whatever the bucket's size. At a
-similarity of 0.8 a signature differs in 7.2 places on average, and in more than 17 with probability 5.6e-5; every
-link is confirmed on the full sets.
+A document's set of word shingles becomes a signature of 60 minima, b = 16 bits each, in 15 chunks of 4. If two
+signatures differ in at most 29 places, some chunk differs in at most one (pigeonhole: 15 chunks with 2 errors each
+would be 30). The allowed error is enumerated by leaving out each of a chunk's places in turn, so two such signatures
+share at least one of 60 exact keys: all pairs within distance 29 meet in a bucket, whatever the bucket's size. At a
+similarity of 0.8 a signature differs in 12 places on average, and in more than 29 with probability 2.1e-7, at which
+a link is missed unless others join its two ends; every link is confirmed on the full sets.
 
 Equal sets are one class from the start. No pairs of a bucket are written out. A bucket is dealt into blocks, each of
 which also gets the bucket's leader, its class of least hash: a class goes to one block of a bucket, and a block passes
@@ -32,7 +32,7 @@ from tidemark.llm.columns import of_texts
 from tidemark.llm.common import as_rows, small_batches, tidy, written
 from tidemark.llm.components import components
 
-CHUNKS, WIDTH, DISTANCE = 9, 4, 17
+CHUNKS, WIDTH, DISTANCE = 15, 4, 29
 PLACES = CHUNKS * WIDTH
 #: Tries of all classes of a large family against one of them; they change the cost, not the result.
 ROUNDS = 3
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[bytes], k: int, words: Words) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, 36) of 16-bit minima of non-empty sets."""
+    """(n, 60) of 16-bit minima of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *[len(s) for s in sets]])[:-1]
     out = np.empty((len(sets), PLACES), np.uint16)
@@ -89,7 +89,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keys(sig: np.ndarray) -> np.ndarray:
-    """(n, 36) bucket keys: for each chunk and each place left out of it, the other three values and which they are."""
+    """(n, 60) bucket keys: for each chunk and each place left out of it, the other three values and which they are."""
     out = np.empty((len(sig), PLACES), np.int64)
     wide = sig.astype(np.int64).reshape(len(sig), CHUNKS, WIDTH)
     for c in range(CHUNKS):
@@ -156,6 +156,20 @@ def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list
     return edges
 
 
+def _spanning(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Which of the edges make a spanning forest of all of them."""
+    nodes, names = pd.factorize(pd.concat([a, b], ignore_index=True))
+    up, keep = list(range(len(names))), np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(nodes[: len(a)].tolist(), nodes[len(a) :].tolist(), strict=True)):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)], keep[i] = min(x, y), True
+    return keep
+
+
 def _near(sig: np.ndarray, n: np.ndarray, i, j, percent: int) -> np.ndarray:
     """Whether rows i and j are within the distance and their sizes allow the similarity."""
     return ((sig[j] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
@@ -180,8 +194,8 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
                     edges = at + np.array(edges)
                     left.append(edges[:, 0])
                     right.append(edges[:, 1])
-            left, right = np.concatenate(left), np.concatenate(right)
-            yield pd.DataFrame({"a": cls[left], "b": cls[right]}).drop_duplicates()
+            edges = pd.DataFrame({"a": cls[np.concatenate(left)], "b": cls[np.concatenate(right)]}).drop_duplicates()
+            yield edges[_spanning(edges["a"], edges["b"])]
 
     return dealt.mapInPandas(tidy(run), "a binary, b binary")
 
