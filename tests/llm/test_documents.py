@@ -197,23 +197,28 @@ def test_lines_hard(spark, table, m):
     assert set(table.columns) <= set(out.columns)
 
 
-def brute_neighbours(rows):
-    """Longest common prefixes of a suffix array made by sorting whole suffixes, by the place of each; ends of texts and
-    lines that occur once are ends that nothing shares."""
+def brute_intervals(rows, m):
+    """(value, places of the suffixes) of each interval of at least m common lines, in a suffix array made by sorting whole suffixes."""
     own = {r: tuple(x.strip(" ") for x in r[1].split("\n") if x.strip(" ")) for r in {r for r in rows if r[1]}}
-    suffixes = sorted((v[i:], k, i) for k, v in own.items() for i in range(len(v)))
-    lcp = [0]
-    for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:], strict=False):
+    suffixes = sorted(((v[i:], k[0] is not None, k[0] or 0, k[1], i) for k, v in own.items() for i in range(len(v))))
+    out, run, value = [], [], None
+    for at, (a, *place) in enumerate(suffixes):
         n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        lcp.append(n)
-    lcp.append(0)
-    return sorted((k[0] is not None, k[0] or 0, k[1], i, max(lcp[at], lcp[at + 1])) for at, (_, k, i) in enumerate(suffixes) if max(lcp[at], lcp[at + 1]))
-
-
-def test_suffix_array(spark, table):
-    """Every line's longest run that occurs elsewhere, too, is that of a brute-force suffix array; so are the interval values' sums."""
+        if at:
+            b = suffixes[at - 1][0]
+            while n < min(len(a), len(b)) and a[n] == b[n]:
+                n += 1
+        if n < m:
+            out.append((value, run))
+            run, value = [tuple(place)], None
+        else:
+            run, value = [*run, tuple(place)], n if value is None else min(value, n)
+    return sorted((v, sorted(r)) for v, r in [*out, (value, run)] if v is not None)
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_suffix_array(spark, table, m):
+    """The intervals, their members and the lengths of their runs are those of a brute-force suffix array."""
     import hashlib
 
     r = __import__("random").Random(11)
@@ -221,10 +226,11 @@ def test_suffix_array(spark, table):
     long += [(100 + i, "\n".join(f"l{j}" for j in range(70))) for i in range(3)] + [(200, "\n".join(["same"] * 33))]
     for rows, df in ((long, docs(spark, long)), (docs_rows(), table)):
         texts = {hashlib.md5(t.encode()).digest(): t for _, t in rows if t}
-        found = lines.common_prefixes(lines._suffixes(df)).collect()
-        got = sorted((x["doc_id"] is not None, x["doc_id"] or 0, texts[bytes(x["h"])], x["i"], n) for x in found if (n := max(x["back"], x["ahead"])))
-        assert got == brute_neighbours(rows)
-        assert sum(x["back"] for x in found) == sum(x["ahead"] for x in found)
+        members, found = lines.intervals(df, m)
+        by = defaultdict(list)
+        for x in members.collect():
+            by[x["id"]].append((x["doc_id"] is not None, x["doc_id"] or 0, texts[bytes(x["h"])], x["i"]))
+        assert sorted((x["value"], sorted(by[x["id"]])) for x in found.collect()) == brute_intervals(rows, m)
 
 
 def test_run_lengths(spark):

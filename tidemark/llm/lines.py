@@ -4,11 +4,11 @@ The lines that aren't blank, of all documents, are sequences of line ids. A suff
 more. Its path begins with that line's rank; in a step that doubles the depth, suffixes that share a path so far are
 sorted by the path that stands one depth on, and the rank of the pair is added to the path. Steps go on until no two
 suffixes share a path but such that come to the same end, a line that occurs once or the end of the text; only suffixes that
-still share one are ranked again, and documents without such a suffix leave. Suffixes in the order of their paths are the
-suffix array. Paths also hold the longest common prefixes of neighbours: an equal beginning of k ranks is one of 2**(k - 1)
-lines, and what follows is compared in the same way. Neighbours with at least `min_lines` lines in common are an
-interval, whose value is its least common prefix. Each interval keeps its first suffix by document and place; the
-interval's prefix at the others is a later copy. Copies joined where they touch or overlap are deleted.
+still share one are ranked again, and documents without such a suffix leave. The order of the paths is the suffix array.
+Suffixes with at least `min_lines` lines in common are an interval of it, whose value is the longest common prefix
+of its first and its last suffix: their paths tell it, as an equal beginning of k ranks is one of 2**(k - 1) lines, and what
+follows is compared in the same way. Each interval keeps its first suffix by document and place; the interval's common
+prefix at the others is a later copy. Copies joined where they touch or overlap are deleted.
 """
 
 from __future__ import annotations
@@ -33,37 +33,37 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "i", digest(F.trim("line")).alias("line"))
 
 
-def _numbered(keys: DataFrame, name: str) -> DataFrame:
-    """keys with ranks in their order, which have gaps. A written table, so that a key that a third of all rows have is
-    joined by splitting it, not in one task."""
-    return written(keys.orderBy(*keys.columns).withColumn("rank", F.monotonically_increasing_id()), name)
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with ranks in the order of the keys, which have gaps. A written table, so that a key that a third of all rows have
+    is joined by splitting it, not in one task."""
+    return written(rows.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, h, i, path, term (lines from here to the first that occurs once, or to the end) of each line that occurs twice or more."""
     lines = _sequences(docs)
-    many = _numbered(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"), "ranks")
-    rows = lines.join(many, "line").select(*_DOC, "i", "rank").dropDuplicates([*_DOC, "i"])
+    many = _numbered(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"), "line")
     by_doc = Window.partitionBy(*_DOC)
+    rows = lines.join(many, "line").select(*_DOC, "i", "rank").repartition(*_DOC).dropDuplicates([*_DOC, "i"])
     rows = rows.withColumn("island", F.col("i") - F.row_number().over(by_doc.orderBy("i")))
     term = (F.max("i").over(Window.partitionBy(*_DOC, "island")) - F.col("i") + 1).alias("term")
-    table = written(rows.select(*_DOC, "i", F.array("rank").alias("path"), term, F.lit(True).alias("shared")), "depth1")
+    table = rows.select(*_DOC, "i", F.array("rank").alias("path"), term, F.lit(True).alias("shared"))
     own, done, step = [*_DOC, "i", "path", "term"], [], 1
-    while not table.where("shared").isEmpty():
-        ahead = F.first("path").over(by_doc.orderBy("i").rangeBetween(step, step))
-        seen = table.withColumn("next", F.coalesce(ahead, F.array().cast("array<bigint>"))).withColumn("live", F.max("shared").over(by_doc))
-        seen = written(seen, "seen")
+    while True:
+        ahead = F.coalesce(F.first("path").over(by_doc.orderBy("i").rangeBetween(step, step)), F.array().cast("array<bigint>"))
+        seen = written(table.withColumn("next", ahead).withColumn("live", F.max("shared").over(by_doc)), f"depth{step}")
         done.append(seen.where("NOT live").select(*own))
         shared = seen.where("shared")
-        pairs = written(shared.groupBy("path", "next").agg(F.count(F.lit(1)).alias("n")), "pairs")
-        ranks = _numbered(pairs.select("path", "next"), "ranks").join(pairs, ["path", "next"])
+        if shared.isEmpty():
+            break
+        ranks = _numbered(shared.groupBy("path", "next").agg(F.count(F.lit(1)).alias("n")), "path", "next")
         step *= 2
-        again = shared.join(ranks, ["path", "next"]).select(*_DOC, "i", F.concat("path", F.array("rank")).alias("path"), "term", ((F.col("n") > 1) & (F.col("term") >= step)).alias("shared"))
-        table = written(again.union(seen.where("live AND NOT shared").select(*again.columns)), f"depth{step}")
-    out = table.select(*own)
-    for part in done:
+        again = shared.join(ranks, ["path", "next"]).select(*own[:3], F.concat("path", F.array("rank")).alias("path"), "term", ((F.col("n") > 1) & (F.col("term") >= step)).alias("shared"))
+        table = again.union(seen.where("live AND NOT shared").select(*again.columns))
+    out = done[0]
+    for part in done[1:]:
         out = out.union(part)
-    return written(out, "suffixes")
+    return out
 
 
 def _equal_ranks() -> Column:
@@ -72,38 +72,52 @@ def _equal_ranks() -> Column:
     return F.when(differ == 0, F.size("path")).otherwise(differ - 1).cast("int")
 
 
-def common_prefixes(suffixes: DataFrame) -> DataFrame:
-    """doc_id, h, i, back and ahead (longest common prefix with the neighbour before and after in the suffix array) of all suffixes."""
-    order = written(suffixes.orderBy("path", *_DOC, "i").withColumn("at", F.monotonically_increasing_id()), "array")
-    # the place after a partition's last one is the first of the next partition that has any
-    ends = order.groupBy(F.shiftright("at", 33).alias("p")).agg(F.min("at").alias("begin"), F.max("at").alias("last"))
-    turns = written(ends.withColumn("begin2", F.lead("begin").over(Window.orderBy("p"))).select("last", "begin2"), "turns")  # a row for each partition
-    after = F.when(F.col("last").isNull(), F.col("at") + 1).otherwise(F.col("begin2"))
-    before = order.join(turns, order["at"] == turns["last"], "left").select(after.alias("at"), *[F.col(c).alias(f"{c}2") for c in (*_DOC, "i", "path", "term")])
-    pairs = order.join(before, "at").where(F.col("path")[0] == F.col("path2")[0]).select("at", *_DOC, "i", "path", "term", "doc_id2", "h2", "i2", "path2", "term2")
-    known = []
-    left = pairs.withColumn("lcp", F.lit(0))
+def _common(pairs: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """id, value: the longest common prefix of two suffixes of each row of pairs (id, and of both doc_id, h, i, path, term, the
+    second with a 2 at the end)."""
+    known, left = [], pairs.withColumn("value", F.lit(0))
     while True:
         equal = _equal_ranks()
         more = F.when(F.col("path") == F.col("path2"), F.least("term", "term2")).when(equal == 0, 0).otherwise(F.pow(F.lit(2), equal - 1).cast("int"))
-        # `term` is that of the places compared now
         over = (F.col("path") == F.col("path2")) | (equal == 0) | (F.least("term", "term2") <= more)
-        left = written(left.select("at", *_DOC, "i", "doc_id2", "h2", "i2", (F.col("lcp") + more).alias("lcp"), over.alias("over")), "left")
-        known.append(left.where("over").select("at", "lcp"))
+        left = written(left.select("id", *_DOC, "i", "doc_id2", "h2", "i2", (F.col("value") + more).alias("value"), over.alias("over")), "compared")
+        known.append(left.where("over").select("id", "value"))
         left = left.where("NOT over")
         if left.isEmpty():
             break
-        places = lambda n: suffixes.select(*[F.col(c).alias(f"to_{c}") for c in _DOC], F.col("i").alias("to_i"), F.col("path").alias(f"path{n}"), F.col("term").alias(f"term{n}"))
-        for n in ("", "2"):
-            same = F.col(f"doc_id{n}").eqNullSafe(F.col("to_doc_id")) & (F.col(f"h{n}") == F.col("to_h")) & (F.col(f"i{n}") + F.col("lcp") == F.col("to_i"))
-            left = left.join(places(n), same).drop("to_doc_id", "to_h", "to_i")
-    found = known[0]
+        for n in ("", "2"):  # what follows the lines that are known to be equal
+            to = suffixes.select(*[F.col(c).alias(f"to_{c}") for c in (*_DOC, "i")], F.col("path").alias(f"path{n}"), F.col("term").alias(f"term{n}"))
+            same = F.col(f"doc_id{n}").eqNullSafe(F.col("to_doc_id")) & (F.col(f"h{n}") == F.col("to_h")) & (F.col(f"i{n}") + F.col("value") == F.col("to_i"))
+            left = left.join(to, same).drop("to_doc_id", "to_h", "to_i")
+    out = known[0]
     for part in known[1:]:
-        found = found.union(part)
-    found = written(found, "lcp")
-    ahead = found.join(pairs.select("at", "doc_id2", "h2", "i2"), "at").select(F.col("doc_id2").alias("doc_id"), F.col("h2").alias("h"), F.col("i2").alias("i"), F.lit(0).alias("back"), F.col("lcp").alias("ahead"))
-    back = order.join(found, "at", "left").select(*_DOC, "i", F.coalesce("lcp", F.lit(0)).alias("back"), F.lit(0).alias("ahead"))
-    return back.union(ahead).groupBy(*_DOC, "i").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
+        out = out.union(part)
+    return out
+
+
+def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
+    """(members, intervals): members have doc_id, h, i and the interval's id; intervals have id, value (lines that all
+    members have in common, at least min_lines) and first (struct of doc_id, h, i)."""
+    suffixes = written(_suffixes(docs), "suffixes")
+    # an interval's name: the ranks of its first 2**k lines, and of as many that end with line min_lines
+    k = min_lines.bit_length() - 1
+    depth = min_lines - 2**k
+    tail = F.slice(F.first("path").over(Window.partitionBy(*_DOC).orderBy("i").rangeBetween(depth, depth)), 1, k + 1)
+    named = suffixes.withColumn("tail", tail if depth else F.array().cast("array<bigint>")).withColumn("head", F.slice("path", 1, k + 1))
+    named = written(named.where((F.col("term") >= min_lines) & (F.size("head") > k) & ((F.size("tail") > k) if depth else F.lit(True))), "named")
+    ends = F.struct("path", *_DOC, "i", "term")
+    groups = named.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("a"), F.max(ends).alias("b"), F.min(F.struct(*_DOC, "i")).alias("first")).where("n > 1")
+    groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    both = groups.select("id", "a.*", *[F.col(f"b.{c}").alias(f"{c}2") for c in (*_DOC, "i", "path", "term")])
+    # where both suffixes of an interval move on by a line to those of another, only the last of such a row is compared
+    along = Window.partitionBy(*_DOC, "doc_id2", "h2", "step")
+    rows = both.withColumn("step", F.col("i") - F.col("i2"))
+    rows = rows.withColumn("island", F.col("i") - F.row_number().over(along.orderBy("i")))
+    last = F.max(F.struct("i", "id")).over(Window.partitionBy(*_DOC, "doc_id2", "h2", "step", "island"))
+    rows = written(rows.withColumn("last", last), "rows")
+    value = _common(rows.where(F.col("id") == F.col("last.id")).select(*both.columns), suffixes).withColumnRenamed("id", "last_id")
+    values = rows.join(value, F.col("last.id") == F.col("last_id")).select("id", (F.col("value") + F.col("last.i") - F.col("i")).alias("value"))
+    return named.select(*_DOC, "i", "head", "tail").join(groups.select("head", "tail", "id"), ["head", "tail"]).select(*_DOC, "i", "id"), written(groups.select("id", "first").join(values, "id"), "intervals")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -114,28 +128,14 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     the first stays if min_lines is 1."""
     if min_lines < 1:
         raise ValueError("min_lines is 1 or more")
-    suffixes = _suffixes(docs)
-    prefixes = common_prefixes(suffixes).where(F.greatest("back", "ahead") >= min_lines)
-    # an interval's name: the ranks of its first 2**k lines, and of as many that end with line min_lines
-    k = min_lines.bit_length() - 1
-    depth = min_lines - 2**k
-    tail = F.slice(F.first("path").over(Window.partitionBy(*_DOC).orderBy("i").rangeBetween(depth, depth)), 1, k + 1)
-    named = suffixes.withColumn("tail", tail if depth else F.array().cast("array<bigint>")).withColumn("head", F.slice("path", 1, k + 1)).where(F.col("term") >= min_lines)
-    members = written(named.join(prefixes, _same_place(named, prefixes)).select(named["doc_id"], named["h"], named["i"], "head", "tail", "back"), "members")
-    place = F.struct(*_DOC, "i")
-    value = F.min(F.when(F.col("back") >= min_lines, F.col("back"))).alias("value")
-    intervals = written(members.groupBy("head", "tail").agg(F.min(place).alias("first"), value), "intervals")
-    later = members.join(intervals, ["head", "tail"]).where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "i", (F.col("i") + F.col("value") - 1).alias("last"))
+    members, found = intervals(docs, min_lines)
+    later = members.join(found, "id").where(~F.struct(*_DOC, "i").eqNullSafe(F.col("first"))).select(*_DOC, "i", (F.col("i") + F.col("value") - 1).alias("last"))
     by_doc = Window.partitionBy(*_DOC).orderBy("i")
     reached = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     starts = later.withColumn("new", F.when(F.col("i") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc))
     return starts.groupBy(*_DOC, "run").agg(F.min("i").alias("first"), F.max("last").alias("last")).drop("run")
 
 
-def _same_place(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"]) & (a["i"] == b["i"])
-
-
 def without_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """All rows of docs with text less its later copies, n_lines (of those that aren't blank), n_removed, and runs (first,
     last); columns of docs with these three names in any case are replaced. A text with a copy loses its blank lines too; other texts stay as they are to the letter, null ones null
