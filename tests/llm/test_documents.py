@@ -569,6 +569,16 @@ def test_packing(spark, library, real, monkeypatch):
     assert n <= math.ceil(sum(r["length"] for r in found) / 2048) + 2
 
 
+def test_equal_rows_are_dealt(spark, monkeypatch):
+    """A third of all rows may be the same: they have places of their own, and are numbered in many windows."""
+    monkeypatch.setattr(packing, "SALT_ROWS", 50)
+    df = docs(spark, [(7, "the same words again")] * 1000 + [(i, f"other {i}") for i in range(500)])
+    found = packing.op5(df)
+    assert check_packing(found.collect()) == math.ceil(sum(r["length"] for r in found.collect()) / 2048)
+    places = [(r["sequence_id"], r["offset"]) for r in found.collect()]
+    assert len(set(places)) == len(places) == 1500
+
+
 @pytest.mark.parametrize("size, stock", [(1, {1: 5}), (10, {10: 3}), (10, {4: 7, 3: 5, 2: 1}), (10, {6: 100, 4: 37, 3: 80, 1: 9}), (7, {5: 3, 1: 1}), (2048, {x: x % 7 for x in range(1, 2048)}), (10, {})])
 def test_plan(size, stock):
     made = packing.plan(stock, size)

@@ -293,15 +293,18 @@ def places(made: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """The pieces with sequence_id and offset. A length has a salt for every SALT_ROWS of its pieces, so no window is large however many share it."""
+    """The pieces with sequence_id and offset. A length has a salt for every SALT_ROWS of its pieces, so no window is large however
+    many share it; pieces are told apart by a number that they are written with, as rows may repeat."""
+    columns = parts.columns
+    parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     stock = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most `size` rows
     salts = parts.sparkSession.createDataFrame([(x, -(-n // SALT_ROWS)) for x, n in stock.items()], "length bigint, _salts int")
-    salted = parts.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_salts")).cast("int")).drop("_salts")
+    salted = parts.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")).drop("_salts")
     counts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts")
     table = places(plan(stock, size))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     firsts = written(counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_first")), "firsts")
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "_salt").orderBy("_row")
     numbered = salted.withColumn("_k", F.row_number().over(order) - 1).join(firsts, ["length", "_salt"])
 
     def place(lengths: pd.Series, numbers: pd.Series) -> pd.DataFrame:
@@ -316,14 +319,12 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     placed = of_numbers(place, "sequence_id bigint, offset bigint")
-    return numbered.select(*parts.columns, placed(F.col("length"), F.col("_k") + F.col("_first")).alias("_place")).select(*parts.columns, "_place.*")
+    return numbered.select(*columns, placed(F.col("length"), F.col("_k") + F.col("_first")).alias("_place")).select(*columns, "_place.*")
 
 
 def op5(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """All pieces of all documents with their place. An empty table gives no rows; null and empty texts are one piece of the
     end id; a text longer than `size` is cut and each full piece has a sequence of its own; repeated rows are packed each;
-    equal lengths are numbered by doc_id (null first), piece, start and digest, and rows equal in all of them in any order.
-    Other columns of docs play no part."""
+    of pieces of equal length it is open which one takes which place. Other columns of docs play no part."""
     with small_batches(docs.sparkSession):
-        parts = written(pieces(docs, path, size), "pieces")
-    return pack(parts, size)
+        return pack(pieces(docs, path, size), size)
