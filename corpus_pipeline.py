@@ -59,7 +59,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rest in sequences of 2048 tokens: a row for each piece. Pieces of equal length take places by doc_id."""
+    """The rest in sequences of 2048 tokens: a row for each piece. Of pieces of equal length it is open which takes which place."""
     return packing.op5(docs)
 
 
