@@ -139,7 +139,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, PLACES)
                 yield pd.DataFrame({"cls": pdf["cls"], "keys": list(keys(sig))})
 
-    return classes.select("cls", "sig").mapInPandas(tidy(run), "cls binary, keys array<bigint>").select("cls", F.explode("keys").alias("key"))
+    return classes.select("cls", "sig").mapInPandas(tidy(run), "cls bigint, keys array<bigint>").select("cls", F.explode("keys").alias("key"))
 
 
 def _forest(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -176,10 +176,11 @@ def _near(sig: np.ndarray, n: np.ndarray, i, j, percent: int) -> np.ndarray:
 
 
 def _within(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): forests of the pairs within the distance in each block of members (key, cls, r, n, sig, nb, low); r is a
-    hash of cls and low the least r of the key."""
-    block = F.when(F.col("r") == F.col("low"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod("r", "nb").cast("int")))
-    dealt = members.select("key", "cls", "r", "n", "sig", F.explode(block).alias("b")).repartition("key", "b").sortWithinPartitions("key", "b", "r", "cls")
+    """(a, b): forests of the pairs within the distance in each block of members (key, cls, n, sig, nb, low), where low is the
+    least hash of a cls of the key."""
+    r = F.xxhash64("cls")
+    block = F.when(r == F.col("low"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod(r, "nb").cast("int")))
+    dealt = members.select("key", "cls", r.alias("r"), "n", "sig", F.explode(block).alias("b")).repartition("key", "b").sortWithinPartitions("key", "b", "r", "cls")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole(batches, ["key", "b"]):
@@ -197,7 +198,7 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
             edges = pd.DataFrame({"a": cls[np.concatenate(left)], "b": cls[np.concatenate(right)]}).drop_duplicates()
             yield edges[_spanning(edges["a"], edges["b"])]
 
-    return dealt.mapInPandas(tidy(run), "a binary, b binary")
+    return dealt.mapInPandas(tidy(run), "a bigint, b bigint")
 
 
 def _dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
@@ -218,7 +219,13 @@ def _dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
     return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "asked", "cls")
 
 
-def _tied(group: pd.DataFrame, ask: Callable[[int, int], np.ndarray]) -> list[tuple[bytes, bytes]]:
+def _xy(rows: DataFrame) -> str:
+    """The schema of pairs of classes of rows."""
+    kind = rows.schema["cls"].dataType.simpleString()
+    return f"x {kind}, y {kind}"
+
+
+def _tied(group: pd.DataFrame, ask: Callable[[int, int], np.ndarray]) -> list[tuple]:
     """One tie (x, y) for each two comps of a group of _dealt that come together; ask(i, n) says which of the first n
     rows, those that aren't there to be asked about, row i is tied to."""
     cls, comps, n = group["cls"].to_numpy(), pd.factorize(group["comp"])[0], int((group["asked"] == 0).sum())
@@ -242,7 +249,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             sig, n = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, PLACES), group["n"].to_numpy()
             yield pd.DataFrame(_tied(group, lambda i, m: _near(sig, n, np.full(1, i), np.arange(m), percent)), columns=["x", "y"])  # noqa: B023
 
-    return _dealt(rows, "key", F.lit(1), ACROSS).mapInPandas(tidy(run), "x binary, y binary")
+    return _dealt(rows, "key", F.lit(1), ACROSS).mapInPandas(tidy(run), _xy(rows))
 
 
 def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -282,7 +289,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     In a group, each class that is asked about is measured against all others at once: its shingles are marked, and the
     marks under each set summed."""
 
-    def links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    def links(group: pd.DataFrame) -> list[tuple]:
         sets = [np.frombuffer(s, np.uint64) for s in group["set"]]
         sizes = np.array([len(s) for s in sets])
         distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -303,7 +310,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             if (group["asked"] == 0).any():
                 yield pd.DataFrame(links(group), columns=["x", "y"])
 
-    return _dealt(rows, "fam", F.length("set"), 8 * SHINGLES).mapInPandas(tidy(run), "x binary, y binary")
+    return _dealt(rows, "fam", F.length("set"), 8 * SHINGLES).mapInPandas(tidy(run), _xy(rows))
 
 
 def _starts(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
@@ -364,7 +371,7 @@ def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append((x, y))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    return one.union(own).repartition("y", "b").sortWithinPartitions("y", "b", "kind").mapInPandas(tidy(run), "x binary, y binary")
+    return one.union(own).repartition("y", "b").sortWithinPartitions("y", "b", "kind").mapInPandas(tidy(run), _xy(sets))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -378,49 +385,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
     with small_batches(docs.sparkSession):
-        rows = written(sketch(docs, k), "sketch")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
+        rows = written(sketch(docs, k), "sketch").withColumnRenamed("cls", "digest")
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # a number for each, fixed by writing it
     members = written(_members(classes), "members")
     families = _families(members, percent)
-    labels = _linked(families, _sets(docs, classes.join(families, "cls", "left_semi").select("cls", "one.*"), k), percent)
-    joined = classes.select("cls", "low").join(labels, "cls", "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
+    labels = _linked(families, _sets(docs, classes.join(families, "cls", "left_semi").select("cls", "digest", "one.*"), k), percent)
+    joined = classes.select("cls", "digest", "low").join(labels, "cls", "left").select("digest", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = written(joined.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
-    ids = written(joined.select("cls", "comp").join(lows, "comp").select("cls", "component_id"), "ids")
-    out = rows.select("doc_id", "h", "n_shingles", "cls").join(ids, "cls", "left")
+    ids = written(joined.select("digest", "comp").join(lows, "comp").select("digest", "component_id"), "ids")
+    out = rows.select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left")
     # an empty text stands for itself
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """key, cls, r (hash of cls), n, sig of each class in each of its buckets of two or more, with nb (blocks of the
-    bucket, a power of two: blocks of two buckets are equal or inside each other) and low (least r of the bucket)."""
-    keyed = _keyed(classes).withColumn("r", F.xxhash64("cls"))
+    """key, cls, n, sig of each class in each of its buckets of two or more, with nb (blocks of the bucket, a power of two:
+    blocks of two buckets are equal or inside each other) and low (least hash of a cls of the bucket)."""
+    keyed = _keyed(classes)
     nb = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("m") / BLOCK)), F.lit(0))).cast("int")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("r").alias("low")).where("m > 1").select("key", nb.alias("nb"), "low")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("cls")).alias("low")).where("m > 1").select("key", nb.alias("nb"), "low")
     return keyed.join(written(shared, "shared"), "key").join(classes.select("cls", "n", "sig"), "cls")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, set) of the wanted (cls, doc_id, h) classes, from the text of one document each: by id and text, as many may
-    have no id or share one."""
+    """(cls, set) of the wanted (cls, digest, doc_id, h) classes, from the text of one document each: by id and text, as
+    many may have no id or share one."""
     wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "h": "w_h"}).hint("merge")
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("cls", "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("cls", "digest", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for pdf in batches:
-            texts, cls = [t if t is not None else b"" for t in pdf["text"]], pdf["cls"].tolist()
+            texts, own = [t if t is not None else b"" for t in pdf["text"]], list(zip(pdf["cls"], pdf["digest"], strict=True))
             for part in _slices(texts):
-                out = [(c, s.tobytes()) for c, s in zip(cls[part], shingle_sets(texts[part], k, words), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
+                out = [(c, s.tobytes()) for (c, d), s in zip(own[part], shingle_sets(texts[part], k, words), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]
                 yield pd.DataFrame(out, columns=["cls", "set"])
 
     with small_batches(docs.sparkSession):
-        return written(texts.mapInPandas(tidy(run), "cls binary, set binary").dropDuplicates(["cls"]), "sets")
+        return written(texts.mapInPandas(tidy(run), "cls bigint, set binary").dropDuplicates(["cls"]), "sets")
 
 
 def _linked(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
