@@ -35,10 +35,22 @@ def _lowered(text: str) -> str:
     """The text in lower case, as the tokenizer has it letter by letter, unless a letter or a special token could come out
     differently. The tokenizer composes letters and marks before it lowers them, and not all capitals have the composed
     forms of their small letters: a text that composing changes, before or after, stays as it is."""
-    if "<" in text or "Σ" in text or "İ" in text:
+    if "<" in text:
         return text
     low = text.lower()
-    return low if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+    if text.isascii() or _latin(text):
+        return low
+    composed = "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+    return low if composed else text
+
+
+def _latin(text: str) -> bool:
+    """Whether all is in the first 256 code points, of which none composes with another."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
@@ -119,17 +131,20 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
         for batch in batches:
-            out = []
+            lengths, crcs = [], []
             for _, packed in encoder(batch):
                 ids = packed + end
                 parts = [ids[first : first + 4 * size] for first in range(0, len(ids), 4 * size)]
-                out.append([{"piece": k, "start": k * size, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, part in enumerate(parts)])
-            yield pd.DataFrame({"pieces": out})
+                lengths.append([len(part) // 4 for part in parts])
+                crcs.append([zlib.crc32(part) for part in parts])
+            yield pd.DataFrame({"length": lengths, "ids_crc32": crcs})
         if len(encoder.known) > 100_000:  # the worker lives on
             encoder.known.clear()
 
-    cut = of_texts(run, "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
-    return docs.select("doc_id", cut("text")["pieces"].alias("pieces")).select("doc_id", F.inline("pieces"))
+    cut = of_texts(run, "length array<bigint>, ids_crc32 array<bigint>")
+    parts = F.arrays_zip(F.col("cut.length").alias("length"), F.col("cut.ids_crc32").alias("ids_crc32"))
+    rows = docs.select("doc_id", cut("text").alias("cut")).select("doc_id", F.posexplode(parts).alias("piece", "part"))
+    return rows.select("doc_id", "piece", (F.col("piece").cast("bigint") * size).alias("start"), "part.length", "part.ids_crc32")
 
 
 Plan = list[tuple[tuple[int, ...], int]]
