@@ -408,7 +408,8 @@ def _members(classes: DataFrame) -> DataFrame:
     keyed = _keyed(classes)
     nb = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("m") / BLOCK)), F.lit(0))).cast("int")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("cls")).alias("low")).where("m > 1").select("key", nb.alias("nb"), "low")
-    return keyed.join(written(shared, "shared"), "key").join(classes.select("cls", "n", "sig"), "cls")
+    # by sort and merge at every size, as both tables grow with the input
+    return keyed.join(written(shared, "shared").hint("merge"), "key").join(classes.select("cls", "n", "sig").hint("merge"), "cls")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
