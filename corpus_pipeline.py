@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, lines, neardup, packing, substrings
-from tidemark.llm.common import scratch, set_aside, written
+from tidemark.llm.common import scratch, set_aside, small_batches, written
 
 #: A text is in no language that was learned if its best one has less than this many times the share of the positive
 #: cosines that it would have if all were equal.
@@ -33,7 +33,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = language.train(docs)
     rows, back = set_aside(docs, ["lang_pred", "score"])
     found = language.predict(rows, prototypes, rows.columns, language.noise(), language.train(docs, even=True))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(prototypes)))).select(*back)
+    with small_batches(spark):  # run here, as whoever writes the result may send larger batches to Python
+        return written(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(prototypes)))).select(*back), "kept")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
